@@ -25,13 +25,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     ``spark.checkpoint.dir`` of the session is used; only where it is unset (tests) a temporary one is made.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loclake-")
-        spark.sparkContext.setCheckpointDir(where)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; only where the session names none (tests) a temporary one."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loclake-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows as a compressed table in the shared folder, bucketed by a key: later joins on it move the other side only."""
+    spark = df.sparkSession
+    name = unique_view("loclake")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.format("parquet").bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core work before a CPU-heavy Python stage: a small input file may be one partition.
 

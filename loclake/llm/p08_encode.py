@@ -22,44 +22,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loclake.llm.bpe import BPE_50K, JAVA_PATTERN, encode, path_of, ranks
-from loclake.llm.common import checkpoint, spread, table
+from loclake.llm.common import bucketed, spread, table
 
-BUCKETS, LONGEST = 1 << 16, 48
+BUCKETS, LONGEST, NO_RANK = 1 << 14, 48, 1 << 30
 
 
-def rank_literal(path: str) -> Column:
-    """Ranks by hexadecimal bytes as an array of small maps; constant folding makes it one literal."""
+def _buckets(keys: dict[str, int]) -> Column:
+    """Keys and their values as an array of small maps; constant folding makes it one literal."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks(path).items():
-        h = token.hex().upper()
-        buckets[zlib.crc32(h.encode()) % BUCKETS][h] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+    for k, v in keys.items():
+        buckets[zlib.crc32(k.encode()) % BUCKETS][k] = v
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)), "array<map<string,int>>")
+
+
+def rank_literal(path: str) -> Column:
+    """Ranks by hexadecimal bytes."""
+    return _buckets({t.hex().upper(): r for t, r in ranks(path).items()})
+
 
+def word_literal(path: str) -> Column:
+    """Ranks of the tokens that are texts of their own, by the text."""
+    out = {}
+    for t, r in ranks(path).items():
+        try:
+            out[t.decode()] = r
+        except UnicodeDecodeError:
+            continue
+    return _buckets(out)
 
-def rank_of(table_: Column, piece: Column) -> Column:
-    """Rank of a piece given as hexadecimal bytes, null if it is no token."""
-    bucket = F.get(table_, (F.crc32(piece) % BUCKETS).cast("int"))
-    return F.try_element_at(bucket, piece)
+
+def rank_of(table_: Column, key: Column) -> Column:
+    """Rank under a key, null if there is none."""
+    return F.try_element_at(F.get(table_, (F.crc32(key) % BUCKETS).cast("int")), key)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def merge_fold(table_: Column, hexed: Column) -> Column:
     """Ids of a word from its hexadecimal bytes: the best-ranked adjacent pair merges until none has a rank."""
-    n = F.length(hexed) / 2
-    single = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substr(hexed, i * 2 - 1, F.lit(2)))
+    n = (F.length(hexed) / 2).cast("int")
+    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(hexed, i * 2 - 1, F.lit(2)))
 
     def step(pieces: Column, _: Column) -> Column:
         # (rank, place) of each adjacent pair; the smallest merges, leftmost first
-        at = F.sequence(F.lit(0), F.size(pieces) - 2)
-        pair = lambda i: F.concat(F.get(pieces, i), F.get(pieces, i + 1))
-        ranked = F.transform(at, lambda i: F.when(rank_of(table_, pair(i)).isNotNull(), F.struct(rank_of(table_, pair(i)).alias("r"), i.alias("i"))))
-        best = F.array_min(F.filter(ranked, lambda x: x.isNotNull()))
-        merged = F.transform(
-            F.array(best.getField("i")),
-            lambda i: F.when(i.isNull(), pieces).otherwise(F.concat(F.slice(pieces, F.lit(1), i), F.array(pair(i)), F.slice(pieces, i + 3, F.size(pieces)))),
-        )
-        return F.when(F.size(pieces) < 2, pieces).otherwise(F.get(merged, F.lit(0)))
-
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int") - 1, F.lit(1))), single, step)
+        pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: F.concat(a, b))
+        ranked = F.transform(pairs, lambda p, i: F.struct(F.coalesce(rank_of(table_, p), F.lit(NO_RANK)).alias("r"), i.alias("i"), p.alias("p")))
+        merge = lambda b: F.concat(F.slice(pieces, F.lit(1), b["i"]), F.array(b["p"]), F.slice(pieces, b["i"] + 3, F.size(pieces)))
+        return F.when(F.size(pieces) < 2, pieces).otherwise(let(F.array_min(ranked), lambda b: F.when(b["r"] == NO_RANK, pieces).otherwise(merge(b))))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), single, step)
     return F.transform(done, lambda p: rank_of(table_, p))
 
 
@@ -75,24 +89,30 @@ def dictionary(words: DataFrame, path: str) -> DataFrame:
     """(w, ids) of distinct words that are no tokens themselves."""
     hexed = F.hex(F.encode("w", "UTF-8"))
     short = F.length(hexed) <= 2 * LONGEST
-    folded = words.where(short).select("w", merge_fold(rank_literal(path), hexed).alias("ids"))
+    folded = words.where(short).select("w", let(rank_literal(path), lambda t: merge_fold(t, hexed)).alias("ids"))
     return folded.unionByName(words.where(~short).select("w", merge_udf(path)("w").alias("ids")))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) of (doc_id, text); ``doc_id`` must be unique."""
-    table_ = rank_literal(path)
-    rank = lambda w: rank_of(table_, F.hex(F.encode(w, "UTF-8")))
-    split = spread(docs.where("text is not null and text <> ''")).select("doc_id", F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)).alias("words"))
-    split = split.withColumn("known", F.transform("words", rank))
-    split = checkpoint(split.select("doc_id", "known", F.transform(F.arrays_zip("words", "known"), lambda x: F.when(x["known"].isNull(), x["words"])).alias("open")))
-    open_ = split.select("doc_id", F.explode(F.array_distinct(F.array_compact("open"))).alias("w"))
+    """(doc_id, ids) of (doc_id, text); ``doc_id`` must be unique.
+
+    A text becomes an array of codes: the id of a word that is a token, or -k for the k-th of the text's other distinct
+    words. Codes are written once, bucketed by document, so that only those distinct words and their ids are shuffled.
+    """
+    full = spread(docs.where("text is not null and text <> ''"))
+    split = full.select("doc_id", F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)).alias("words"))
+    known = let(word_literal(path), lambda t: F.transform("words", lambda w: rank_of(t, w)))
+    split = split.withColumn("known", known).withColumn("z", F.arrays_zip("words", "known"))
+    split = split.withColumn("open", F.array_distinct(F.transform(F.filter("z", lambda x: x["known"].isNull()), lambda x: x["words"])))
+    codes = F.transform("z", lambda x: F.coalesce(x["known"], -F.array_position("open", x["words"]).cast("int")))
+    split = bucketed(split.select("doc_id", codes.alias("codes"), "open"), "doc_id")
+    open_ = split.select("doc_id", F.posexplode("open").alias("k", "w"))
     merged = dictionary(open_.select("w").distinct(), path)
-    of_doc = open_.join(merged, "w").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("m"))
-    ids = F.flatten(F.transform(F.arrays_zip("known", "open"), lambda x: F.when(x["known"].isNotNull(), F.array(x["known"])).otherwise(F.try_element_at("m", x["open"]))))
-    full = split.join(of_doc, "doc_id", "left").select("doc_id", ids.alias("ids"))
+    of_doc = open_.join(merged, "w").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("m"))
+    ids = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get("m", -c - 1))))
+    out = split.join(of_doc, "doc_id", "left").select("doc_id", ids.alias("ids"))
     none = docs.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
-    return full.unionByName(none)
+    return out.unionByName(none)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
