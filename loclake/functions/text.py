@@ -62,7 +62,7 @@ def preserve(x: Column) -> Column:
 
         def step(s: Column, tok: Column) -> Column:
             name = key(tok, F.lpad(F.size(s["keys"]).cast("string"), 3, "0"))
-            at = F.charindex(tok, s["text"])
+            at = F.position(tok, s["text"])
             text = F.concat(F.substr(s["text"], F.lit(1), at - 1), name, F.substr(s["text"], at + F.length(tok)))
             return F.struct(F.when(at > 0, text).otherwise(s["text"]).alias("text"), F.concat(s["keys"], F.array(name)).alias("keys"), F.concat(s["tokens"], F.array(tok)).alias("tokens"))
 

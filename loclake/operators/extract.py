@@ -108,7 +108,7 @@ def statement_kind(tokens: DataFrame) -> DataFrame:
     word = F.lower(speaker)
     screen = word.isin("text", "textbutton", "label", "tooltip", "add", "imagebutton", "input", "key", "title", "caption")
     code = word.isin("play", "stop", "queue", "show", "hide", "scene", "define", "default", "image", "jump", "call", "init", "python", "style", "return", "if", "elif", "while", "for", "voice", "translate", "old", "new")
-    menu = F.exists("context_path", lambda c: c == "menu") & line.rlike(rf"\A{quoted}.*{quoted[-6:]}\s*(?:if\s.*)?:\s*\z")
+    menu = F.exists("context_path", lambda c: c == "menu") & line.rlike(rf"\A{quoted}.*[\"']\s*(?:if\s.*)?:\s*\z")
     call = line.rlike(r"(\b_{1,2}|_p|renpy\.say|renpy\.notify|renpy\.input|Text)\s*\(")
     kind = (
         F.when(menu, "menu").when(call, "renpy_func").when(screen, "ui").when(P.in_context(F.col("context_path"), "python") | code | line.startswith("$"), "code")

@@ -1,8 +1,8 @@
 """Fuzzy recovery of old translations, and translation memory.
 
 The score is the ratio of matching blocks (2·matches / length, as in Python's difflib). Candidates come from two sound
-bounds: by length, and by common characters; both are checked before any alignment. Old and new texts meet on shared
-rare words, so that texts without one in common are never compared; texts too short for that meet on their length.
+bounds: by length, and by common characters; both are checked before any alignment. Old and new texts meet on pairs of
+adjacent words that few old texts hold: texts without a rare pair in common are not compared.
 """
 
 from __future__ import annotations
@@ -38,12 +38,17 @@ def length_bound(a: Column, b: Column) -> Column:
     return 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
 
 
-def letter_bound(a: Column, b: Column) -> Column:
+def letters_of(x: Column) -> Column:
+    """How often each letter a to z occurs, and all other characters together."""
+    plain = F.regexp_replace(x, "[^a-z]", "")
+    each = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: F.length(plain) - F.length(F.replace(plain, F.char(i), F.lit(""))))
+    return F.concat(each, F.array(F.length(x) - F.length(plain)))
+
+
+def letter_bound(bag_a: Column, bag_b: Column, both_lengths: Column) -> Column:
     """No score is higher: matches are common characters, counted with repeats."""
-    bag = lambda c: F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: F.regexp_count(c, F.char(i)))
-    both = F.aggregate(F.zip_with(bag(a), bag(b), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    other = lambda c: F.length(F.regexp_replace(c, "[a-z]", ""))
-    return 2.0 * (both + F.least(other(a), other(b))) / (F.length(a) + F.length(b))
+    both = F.aggregate(F.zip_with(bag_a, bag_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return 2.0 * both / both_lengths
 
 
 def percent(score: Column) -> Column:
@@ -53,22 +58,24 @@ def percent(score: Column) -> Column:
 def match(new: DataFrame, old: DataFrame, threshold: float = 0.7, auto: float = 0.9) -> DataFrame:
     """Best old text of each new one: new (new_id, new_original), old (old_id, old_original, old_translation).
 
-    Equal texts pair up first, one to one. The rest meets on words that at most one text in a hundred holds (at least
-    ten may); pairs below the bounds are dropped, the others scored, and of one new text's pairs the best stays, then
-    of one old text's. Ties go to the smaller id. Texts whose words are all common are compared with the exact stage
-    only.
+    Equal texts pair up first, one to one. The rest meets on pairs of words that at most one old text in 500 holds (five
+    may); candidates below the bounds are dropped, the others scored, and of one new text's the best stays, then of
+    one old text's. Ties go to the smaller id. Texts without such a pair only take part in the exact stage.
     """
-    n, o = new.withColumn("k", normalized(F.col("new_original"))), old.withColumn("k", normalized(F.col("old_original")))
-    exact = pair_up(n, o, "k", "new_id", "old_id").withColumn("similarity", F.lit(1.0))
+    bagged = lambda df, c: df.withColumn("k", normalized(F.col(c))).withColumn("bag", letters_of(F.col("k")))
+    n, o = bagged(new, "new_original").persist(), bagged(old, "old_original").persist()
+    exact = pair_up(n.drop("bag"), o.drop("bag"), "k", "new_id", "old_id").withColumn("similarity", F.lit(1.0))
     n, o = n.join(exact.select("new_id"), "new_id", "left_anti"), o.join(exact.select("old_id"), "old_id", "left_anti")
-    words = lambda df, i: df.select(i, F.explode(F.array_distinct(F.regexp_extract_all("k", F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).alias("w"))
+    tokens = F.regexp_extract_all("k", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    pair_up_words = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.xxhash64(F.element_at("t", i), F.element_at("t", i + 1)))
+    words = lambda df, i: df.withColumn("t", tokens).where("size(t) > 1").select(i, F.explode(F.array_distinct(pair_up_words)).alias("w"))
     wo = words(o, "old_id")
-    most = max(10, o.count() // 100)
+    most = max(5, o.count() // 500)
     rare = wo.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") <= most).select("w")
-    pairs = words(n, "new_id").join(wo.join(rare, "w"), "w").groupBy("new_id", "old_id").agg(F.count("*").alias("shared"))
-    # texts of a score above the threshold share more than one rare word unless they are short
-    both = pairs.join(n, "new_id").join(o.withColumnRenamed("k", "ok"), "old_id")
-    both = both.where((length_bound(F.col("k"), F.col("ok")) >= threshold) & (letter_bound(F.col("k"), F.col("ok")) >= threshold))
+    pairs = words(n, "new_id").join(wo.join(rare, "w"), "w").select("new_id", "old_id").distinct()
+    both = pairs.join(n, "new_id").join(o.withColumnsRenamed({"k": "ok", "bag": "obag"}), "old_id")
+    total = F.length("k") + F.length("ok")
+    both = both.where((length_bound(F.col("k"), F.col("ok")) >= threshold) & (letter_bound(F.col("bag"), F.col("obag"), total) >= threshold))
     scored = both.withColumn("similarity", ratio_udf("k", "ok")).where(F.col("similarity") >= threshold)
     cols = ["new_original", "old_id", "old_original", "old_translation", "similarity"]
     scored = scored.withColumn("_d", -F.col("similarity"))

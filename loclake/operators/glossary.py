@@ -34,27 +34,30 @@ def hits(texts: DataFrame, column: str, glossary: list[tuple[str, str]], keep: t
     return texts.select(*keep, F.explode(found).alias("h")).select(*keep, "h.term", "h.target")
 
 
+def any_term(glossary: list[tuple[str, str]]) -> str:
+    """Any of the terms as a whole word, in any case; the longest wins where several begin at one place."""
+    return "(?i)(?<![\\p{L}\\p{N}_])(" + "|".join("".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in s) for s, _ in glossary) + ")(?![\\p{L}\\p{N}_])"
+
+
+def _targets(glossary: list[tuple[str, str]]) -> Column:
+    return F.create_map(*[F.lit(x) for s, d in {s.lower(): d for s, d in reversed(glossary)}.items() for x in (s, d)])
+
+
+def _woven(x: Column, pattern: str, fills: Column) -> Column:
+    return F.concat_ws("", F.transform(F.split(x, pattern, -1), lambda g, i: F.concat(g, F.coalesce(F.get(fills, i), F.lit("")))))
+
+
 def protect(x: Column, glossary: list[tuple[str, str]]) -> Column:
-    """Terms replaced by masks that stand for their targets, longest first: struct(text, keys, targets)."""
-    text = x
-    keys, targets = [], []
-    for n, (s, d) in enumerate(glossary):
-        key = f"XRPYXGLO{n}XRPYX"
-        seen = text.rlike(word(s))
-        keys.append(F.when(seen, F.lit(key)))
-        targets.append(F.when(seen, F.lit(d)))
-        text = F.regexp_replace(text, word(s), key)
-    return F.struct(text.alias("text"), F.array_compact(F.array(*keys)).alias("keys"), F.array_compact(F.array(*targets)).alias("targets"))
+    """Terms replaced by masks numbered from left to right that stand for their targets: struct(text, keys, targets)."""
+    pattern, to = any_term(glossary), _targets(glossary)
+    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+    keys = F.transform(found, lambda _, i: F.concat(F.lit("XRPYXGLO"), i.cast("string"), F.lit("XRPYX")))
+    return F.struct(F.when(x.isNotNull(), _woven(x, pattern, keys)).alias("text"), keys.alias("keys"), F.transform(found, lambda f: F.try_element_at(to, F.lower(f))).alias("targets"))
 
 
 def apply(x: Column, original: Column, glossary: list[tuple[str, str]]) -> Column:
     """The target where the whole original is a term; else untranslated terms replaced, with the case of each hit."""
-    whole = F.lit(None).cast("string")
-    for s, d in reversed(glossary):
-        whole = F.when(F.lower(strip(original)) == s.lower(), d).otherwise(whole)
-    text = x
-    for s, d in glossary:
-        found = F.regexp_extract_all(text, F.lit(f"({word(s)})"), F.lit(1))
-        gaps = F.split(text, word(s), -1)
-        text = F.concat_ws("", F.transform(gaps, lambda g, i, f=found, d=d: F.concat(g, F.coalesce(keep_case(F.get(f, i), F.lit(d)), F.lit("")))))
-    return F.coalesce(whole, text)
+    pattern, to = any_term(glossary), _targets(glossary)
+    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+    fills = F.transform(found, lambda f: keep_case(f, F.try_element_at(to, F.lower(f))))
+    return F.coalesce(F.try_element_at(to, F.lower(strip(original))), F.when(x.isNotNull(), _woven(x, pattern, fills)))

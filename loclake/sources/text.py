@@ -18,7 +18,7 @@ from loclake.functions import predicates as P
 from loclake.functions.text import strip
 
 # Line ends that text files may have, and extensions of scripts and data files.
-LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 EXTENSIONS = ("rpy", "rpym", "json", "csv", "txt", "yaml", "xml", "ini")
 
 
@@ -53,7 +53,7 @@ def decoded(content: Column) -> Column:
     """UTF-8 without its byte-order mark where the bytes are UTF-8, else the most likely charset."""
     utf8 = F.is_valid_utf8(content.cast("string"))
     other = _guess(F.when(~utf8, content))
-    return F.when(utf8, F.regexp_replace(content.cast("string"), "\\A﻿", "")).otherwise(other)
+    return F.when(utf8, F.regexp_replace(content.cast("string"), "\\A\\uFEFF", "")).otherwise(other)
 
 
 def lines(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
