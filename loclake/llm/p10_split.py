@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loclake.llm.bpe import BPE_50K, encode, path_of, starts_character, token_bytes
 from loclake.llm.common import spread, table
 
-LIMIT, OVERLAP, LEAST, WINDOW, LANDMARK = 512, 64, 160, 8, 48
+LIMIT, OVERLAP, LEAST, WINDOW, LANDMARK = 512, 64, 128, 8, 96
 KINDS = ("sentence", "line", "paragraph", "scene")
 
 # Natural ends in the bytes of a text; the position is that behind the match.
