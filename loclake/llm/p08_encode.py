@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from loclake.llm.bpe import BPE_50K, JAVA_PATTERN, encode, path_of, ranks
 from loclake.llm.common import bucketed, spread, table
 
-BUCKETS, LONGEST, NO_RANK = 1 << 14, 48, 1 << 30
+BUCKETS, LONGEST, NO_RANK = 1 << 14, 20, 1 << 30
 
 
 def _buckets(keys: dict[str, int]) -> Column:
@@ -102,13 +102,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     full = spread(docs.where("text is not null and text <> ''"))
     split = full.select("doc_id", F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)).alias("words"))
     known = let(word_literal(path), lambda t: F.transform("words", lambda w: rank_of(t, w)))
-    split = split.withColumn("known", known).withColumn("z", F.arrays_zip("words", "known"))
-    split = split.withColumn("open", F.array_distinct(F.transform(F.filter("z", lambda x: x["known"].isNull()), lambda x: x["words"])))
-    codes = F.transform("z", lambda x: F.coalesce(x["known"], -F.array_position("open", x["words"]).cast("int")))
+    split = split.withColumn("known", known)
+    open_words = F.array_distinct(F.filter("words", lambda w, i: F.get("known", i).isNull()))
+    split = split.withColumn("open", open_words)
+    codes = F.transform("known", lambda k, i: F.coalesce(k, -F.array_position("open", F.get("words", i)).cast("int")))
     split = bucketed(split.select("doc_id", codes.alias("codes"), "open"), "doc_id")
     open_ = split.select("doc_id", F.posexplode("open").alias("k", "w"))
-    merged = dictionary(open_.select("w").distinct(), path)
-    of_doc = open_.join(merged, "w").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("m"))
+    # ids travel as text, which is a third of the size of an array of few numbers
+    merged = dictionary(open_.select("w").distinct(), path).select("w", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+    of_doc = open_.join(merged, "w").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("m"))
+    of_doc = of_doc.select("doc_id", F.transform("m", lambda x: F.split(x["ids"], " ").cast("array<int>")).alias("m"))
     ids = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get("m", -c - 1))))
     out = split.join(of_doc, "doc_id", "left").select("doc_id", ids.alias("ids"))
     none = docs.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
