@@ -58,9 +58,10 @@ def percent(score: Column) -> Column:
 def match(new: DataFrame, old: DataFrame, threshold: float = 0.7, auto: float = 0.9) -> DataFrame:
     """Best old text of each new one: new (new_id, new_original), old (old_id, old_original, old_translation).
 
-    Equal texts pair up first, one to one. The rest meets on pairs of words that at most one old text in 500 holds (five
-    may); candidates below the bounds are dropped, the others scored, and of one new text's the best stays, then of
-    one old text's. Ties go to the smaller id. Texts without such a pair only take part in the exact stage.
+    Equal texts pair up first, one to one. The rest meets on pairs of words that at most one old text in 1000 holds (three
+    may): two such pairs, or one in texts of less than 60 characters. Candidates below the bounds are dropped, the
+    others scored, and of one new text's the best stays, then of one old text's. Ties go to the smaller id. Texts that
+    share no such pairs only take part in the exact stage.
     """
     bagged = lambda df, c: df.withColumn("k", normalized(F.col(c))).withColumn("bag", letters_of(F.col("k")))
     n, o = bagged(new, "new_original").persist(), bagged(old, "old_original").persist()
@@ -70,10 +71,11 @@ def match(new: DataFrame, old: DataFrame, threshold: float = 0.7, auto: float =
     pair_up_words = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.xxhash64(F.element_at("t", i), F.element_at("t", i + 1)))
     words = lambda df, i: df.withColumn("t", tokens).where("size(t) > 1").select(i, F.explode(F.array_distinct(pair_up_words)).alias("w"))
     wo = words(o, "old_id")
-    most = max(5, o.count() // 500)
+    most = max(3, o.count() // 1000)
     rare = wo.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") <= most).select("w")
-    pairs = words(n, "new_id").join(wo.join(rare, "w"), "w").select("new_id", "old_id").distinct()
+    pairs = words(n, "new_id").join(wo.join(rare, "w"), "w").groupBy("new_id", "old_id").agg(F.count("*").alias("shared"))
     both = pairs.join(n, "new_id").join(o.withColumnsRenamed({"k": "ok", "bag": "obag"}), "old_id")
+    both = both.where((F.col("shared") > 1) | (F.least(F.length("k"), F.length("ok")) < 60))
     total = F.length("k") + F.length("ok")
     both = both.where((length_bound(F.col("k"), F.col("ok")) >= threshold) & (letter_bound(F.col("bag"), F.col("obag"), total) >= threshold))
     scored = both.withColumn("similarity", ratio_udf("k", "ok")).where(F.col("similarity") >= threshold)
