@@ -14,9 +14,9 @@ BPE_50K = "byte_bpe_50k.tiktoken"
 BPE_MULTI = "byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of these rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for Java, whose \s knows only ASCII.
+#: The same for Java, whose \s knows only ASCII; the suffixes as one alternative, runs without a way back.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-JAVA_PATTERN = PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s+", f"[{_SPACE}]+").replace(r"\S", f"[^{_SPACE}]")
+JAVA_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}++| ?\p{{N}}++| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
 def path_of(name: str, folder: str = TOKENIZERS) -> str:

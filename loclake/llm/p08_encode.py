@@ -108,12 +108,15 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     codes = F.transform("known", lambda k, i: F.coalesce(k, -F.array_position("open", F.get("words", i)).cast("int")))
     split = bucketed(split.select("doc_id", codes.alias("codes"), "open"), "doc_id")
     open_ = split.select("doc_id", F.posexplode("open").alias("k", "w"))
-    # ids travel as text, which is a third of the size of an array of few numbers
+    # the place of a word and its ids travel as one text, a fraction of the size of a structure of few numbers; neither
+    # side of these joins is sorted: the dictionary's and a document's part of it are the smaller ones by far
     merged = dictionary(open_.select("w").distinct(), path).select("w", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
-    of_doc = open_.join(merged, "w").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("m"))
-    of_doc = of_doc.select("doc_id", F.transform("m", lambda x: F.split(x["ids"], " ").cast("array<int>")).alias("m"))
-    ids = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get("m", -c - 1))))
-    out = split.join(of_doc, "doc_id", "left").select("doc_id", ids.alias("ids"))
+    placed = open_.join(merged.hint("shuffle_hash"), "w").select("doc_id", F.concat_ws(" ", F.col("k").cast("string"), "ids").alias("p"))
+    of_doc = placed.groupBy("doc_id").agg(F.collect_list("p").alias("m"))
+    of_doc = of_doc.select("doc_id", F.array_sort(F.transform("m", lambda x: F.split(x, " ").cast("array<int>"))).alias("m"))
+    rest = lambda x: F.slice(x, F.lit(2), F.size(x))
+    ids = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(rest(F.get("m", -c - 1)))))
+    out = split.join(of_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", ids.alias("ids"))
     none = docs.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return out.unionByName(none)
 
