@@ -61,5 +61,17 @@ def salted(column: str, salts: int = 32):
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of their keys: the same however the input is split.
+
+    Rows are filtered by hash before they are ordered, so about ``most`` rows reach the driver in all, not as many from
+    every task. Where fewer pass that filter by chance, the sample is that much smaller.
+    """
+    n = df.count()
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    share = min(1.0, 1.1 * most / max(n, 1))
+    return df.where(h <= int(share * (1 << 30))).orderBy(h, *keys).limit(most)
+
+
 def unique_view(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:8]}"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loclake.llm.bpe import BPE_MULTI, encoding, path_of, ranks
-from loclake.llm.common import LANGS, NAME_TO_CODE, table
+from loclake.llm.common import LANGS, NAME_TO_CODE, bounded_sample, table
 from loclake.llm.p06_layout import named_fields
 from loclake.llm.p07_pairs import plain
 
@@ -146,9 +146,9 @@ CODE_LIKE = r"[#\"']"
 
 def fitted(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> Classifier:
     """From the ``sample`` rows with the smallest hashes of each table."""
-    t = table(spark, sf_dir, "tl_entries", "tl_id", "lang", "original_text", "translated_text").where("translated_text is not null").orderBy(F.xxhash64("tl_id")).limit(sample).collect()
+    t = bounded_sample(table(spark, sf_dir, "tl_entries", "tl_id", "lang", "original_text", "translated_text").where("translated_text is not null"), ["tl_id"], sample).collect()
     rows = [("en", plain(r["original_text"] or "")) for r in t] + [(NAME_TO_CODE.get(r["lang"] or "", "en"), plain(r["translated_text"])) for r in t]
-    e = table(spark, sf_dir, "entries", "entry_id", "text").where(F.col("text").contains("\n") & F.col("text").rlike(CODE_LIKE)).orderBy(F.xxhash64("entry_id")).limit(sample).collect()
+    e = bounded_sample(table(spark, sf_dir, "entries", "entry_id", "text").where(F.col("text").contains("\n") & F.col("text").rlike(CODE_LIKE)), ["entry_id"], sample).collect()
     rows += [("code", literals(r["text"])[1]) for r in e if is_code(r["text"])]
     return Classifier(path_of(BPE_MULTI), rows)
 
