@@ -68,10 +68,10 @@ def fuzzy_exact(spark, d):
     return relational.pair_up(n, o, "k", "new_id", "old_id").select("new_id", "old_id")
 
 
-@query("""SELECT match_id, 2.0 * least(length(new_original), length(old_original)) / (length(new_original) + length(old_original)) AS bound FROM fuzzy_matches WHERE old_original IS NOT NULL""")
+@query("""SELECT match_id, round(2.0 * least(length(new_original), length(old_original)) / (length(new_original) + length(old_original)), 6) AS bound FROM fuzzy_matches WHERE old_original IS NOT NULL""")
 def fuzzy_bounds(spark, d):
     """The length bound of J07."""
-    return t(spark, d, "fuzzy_matches").where("old_original is not null").select("match_id", fuzzy.length_bound(F.col("new_original"), F.col("old_original")).alias("bound"))
+    return t(spark, d, "fuzzy_matches").where("old_original is not null").select("match_id", F.round(fuzzy.length_bound(F.col("new_original"), F.col("old_original")), 6).alias("bound"))
 
 
 def _sides(spark, d):
@@ -201,12 +201,12 @@ def batch_and_slot(spark, d):
     return both.select("result_id", "batch_no", "slot")
 
 
-@query("""SELECT result_id, avg(confidence) OVER w AS mean_duration, avg(CASE WHEN success THEN 0.0 ELSE 1.0 END) OVER w AS failure_rate, count(*) OVER w AS n_events FROM results WHERE engine IS NOT NULL
+@query("""SELECT result_id, round(avg(confidence) OVER w, 6) AS mean_duration, round(avg(CASE WHEN success THEN 0.0 ELSE 1.0 END) OVER w, 6) AS failure_rate, count(*) OVER w AS n_events FROM results WHERE engine IS NOT NULL
 WINDOW w AS (PARTITION BY engine ORDER BY result_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)""")
 def rolling_metrics(spark, d):
     """W06."""
     r = t(spark, d, "results").where("engine is not null").select("result_id", "engine", "confidence", "success")
-    return metrics.rolling(r, "engine", "result_id", "confidence", F.coalesce("success", F.lit(False))).select("result_id", "mean_duration", "failure_rate", "n_events")
+    return metrics.rolling(r, "engine", "result_id", "confidence", F.coalesce("success", F.lit(False))).select("result_id", F.round("mean_duration", 6).alias("mean_duration"), F.round("failure_rate", 6).alias("failure_rate"), "n_events")
 
 
 @query("""WITH s AS (SELECT event_type, event_id, avg(value / 100) OVER w AS m, avg(CASE WHEN value > 10 THEN 0.0 ELSE 1.0 END) OVER w AS f, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
@@ -494,7 +494,8 @@ def pseudo_progress(spark, d):
     return e.groupBy("lang").agg(n.alias("total"), ok.alias("translated"), (n - ok).alias("untranslated"), metrics.percent(ok, n).alias("progress"), F.count_if("kept").alias("kept"))
 
 
-@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, avg(value) AS mean_duration, avg(CASE WHEN value > 10 THEN 0.0 ELSE 1.0 END) AS failure_rate FROM events GROUP BY 1, 2""")
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_duration, round(avg(CASE WHEN value > 10 THEN 0.0 ELSE 1.0 END), 6) AS failure_rate FROM events GROUP BY 1, 2""")
 def stream_metrics(spark, d):
     """Streaming extension, on the batch side."""
-    return stream.engine_metrics(t(spark, d, "events"), "ts", ["event_type"], F.col("value"), F.col("value") > 10)
+    m = stream.engine_metrics(t(spark, d, "events"), "ts", ["event_type"], F.col("value"), F.col("value") > 10)
+    return m.withColumns({c: F.round(c, 6) for c in ("mean_duration", "failure_rate")})
