@@ -201,12 +201,12 @@ def batch_and_slot(spark, d):
     return both.select("result_id", "batch_no", "slot")
 
 
-@query("""SELECT result_id, round(avg(confidence) OVER w, 6) AS mean_duration, round(avg(CASE WHEN success THEN 0.0 ELSE 1.0 END) OVER w, 6) AS failure_rate, count(*) OVER w AS n_events FROM results WHERE engine IS NOT NULL
+@query("""SELECT result_id, avg(round(confidence * 10000)::BIGINT) OVER w AS mean_duration, avg(CASE WHEN success THEN 0 ELSE 1 END) OVER w AS failure_rate, count(*) OVER w AS n_events FROM results WHERE engine IS NOT NULL
 WINDOW w AS (PARTITION BY engine ORDER BY result_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)""")
 def rolling_metrics(spark, d):
     """W06."""
-    r = t(spark, d, "results").where("engine is not null").select("result_id", "engine", "confidence", "success")
-    return metrics.rolling(r, "engine", "result_id", "confidence", F.coalesce("success", F.lit(False))).select("result_id", F.round("mean_duration", 6).alias("mean_duration"), F.round("failure_rate", 6).alias("failure_rate"), "n_events")
+    r = t(spark, d, "results").where("engine is not null").select("result_id", "engine", F.round(F.col("confidence") * 10000).cast("long").alias("c"), "success")
+    return metrics.rolling(r, "engine", "result_id", "c", F.coalesce("success", F.lit(False))).select("result_id", "mean_duration", "failure_rate", "n_events")
 
 
 @query("""WITH s AS (SELECT event_type, event_id, avg(value / 100) OVER w AS m, avg(CASE WHEN value > 10 THEN 0.0 ELSE 1.0 END) OVER w AS f, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
