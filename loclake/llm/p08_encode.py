@@ -24,35 +24,53 @@ from pyspark.sql import types as T
 from loclake.llm.bpe import BPE_50K, JAVA_PATTERN, encode, path_of, ranks
 from loclake.llm.common import bucketed, spread, table
 
-BUCKETS, LONGEST, NO_RANK = 1 << 14, 20, 1 << 30
-
-
-def _buckets(keys: dict[str, int]) -> Column:
-    """Keys and their values as an array of small maps; constant folding makes it one literal."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for k, v in keys.items():
-        buckets[zlib.crc32(k.encode()) % BUCKETS][k] = v
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)), "array<map<string,int>>")
+#: Small maps in the literal of ranks; places in that of whole words; longest word in bytes that is folded.
+BUCKETS, PLACES, LONGEST, NO_RANK = 1 << 14, 1 << 17, 20, 1 << 30
 
 
 def rank_literal(path: str) -> Column:
-    """Ranks by hexadecimal bytes."""
-    return _buckets({t.hex().upper(): r for t, r in ranks(path).items()})
+    """Ranks by hexadecimal bytes as an array of small maps; constant folding makes it one literal."""
+    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for t, r in ranks(path).items():
+        h = t.hex().upper()
+        buckets[zlib.crc32(h.encode()) % BUCKETS][h] = r
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def word_literal(path: str) -> Column:
-    """Ranks of the tokens that are texts of their own, by the text."""
-    out = {}
+    """Ranks of the tokens that are texts of their own: struct(arrays of words and of ranks).
+
+    A word stands at one of two places that its checksum names, so a lookup is at most two comparisons.
+    """
+    words: list[str | None] = [None] * PLACES
+    rank = [0] * PLACES
     for t, r in ranks(path).items():
         try:
-            out[t.decode()] = r
+            item = (t.decode(), r)
         except UnicodeDecodeError:
             continue
-    return _buckets(out)
+        at = zlib.crc32(item[0].encode()) % PLACES
+        for _ in range(1000):
+            held = words[at], rank[at]
+            words[at], rank[at] = item
+            if held[0] is None:
+                break
+            item = held  # the one that stood there moves to its other place
+            crc = zlib.crc32(item[0].encode())
+            at = crc >> 15 if at == crc % PLACES else crc % PLACES
+        else:
+            raise ValueError("too few places")
+    return F.from_json(F.lit(json.dumps({"w": words, "r": rank}, separators=(",", ":"), ensure_ascii=False)), "struct<w:array<string>,r:array<int>>")
+
+
+def word_rank(words: Column, rank: Column, word: Column) -> Column:
+    """Rank of a word that is a token, else null."""
+    one, two = (F.crc32(word) % PLACES).cast("int"), F.shiftright(F.crc32(word), 15).cast("int")
+    return F.when(F.get(words, one) == word, F.get(rank, one)).when(F.get(words, two) == word, F.get(rank, two))
 
 
 def rank_of(table_: Column, key: Column) -> Column:
-    """Rank under a key, null if there is none."""
+    """Rank of a piece given as hexadecimal bytes, null if it is no token."""
     return F.try_element_at(F.get(table_, (F.crc32(key) % BUCKETS).cast("int")), key)
 
 
@@ -101,7 +119,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     full = spread(docs.where("text is not null and text <> ''"))
     split = full.select("doc_id", F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)).alias("words"))
-    known = let(word_literal(path), lambda t: F.transform("words", lambda w: rank_of(t, w)))
+    known = let(word_literal(path), lambda t: let(t["w"], lambda ws: let(t["r"], lambda rs: F.transform("words", lambda w: word_rank(ws, rs, w)))))
     split = split.withColumn("known", known)
     open_words = F.array_distinct(F.filter("words", lambda w, i: F.get("known", i).isNull()))
     split = split.withColumn("open", open_words)
