@@ -107,7 +107,7 @@ def in_python(spark, d):
     return scan_lines(spark, d).select("doc_id", "line_number", inside.alias("in_python"))
 
 
-@query("""SELECT file_path, count(*) AS n_strings, round(count(*) * 0.0001 + 1 * 0.01, 3) AS seconds, CASE WHEN count(*) < 1000 THEN 'not needed' WHEN count(*) < 5000 THEN 'optional' WHEN count(*) < 10000 THEN 'advised' ELSE 'strongly advised' END AS deferred,
+@query("""SELECT file_path, count(*) AS n_strings, round((count(*) * 0.0001 + 1 * 0.01)::DOUBLE, 3) AS seconds, CASE WHEN count(*) < 1000 THEN 'not needed' WHEN count(*) < 5000 THEN 'optional' WHEN count(*) < 10000 THEN 'advised' ELSE 'strongly advised' END AS deferred,
  CASE WHEN count(DISTINCT lang) >= 50 THEN 32 WHEN count(DISTINCT lang) >= 20 THEN 16 WHEN count(DISTINCT lang) >= 10 THEN 8 WHEN count(DISTINCT lang) >= 5 THEN 4 WHEN count(DISTINCT lang) > 0 THEN 2 ELSE 16 END AS concurrency FROM tl_entries GROUP BY file_path""")
 def load_estimate(spark, d):
     """T31, F25, A14."""
