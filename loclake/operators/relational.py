@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows a small dimension (glossary, rules, languages) may have to be broadcast by hint.
 SMALL = 10_000
@@ -74,24 +76,75 @@ def prefer(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
     return rows.select(key, kept[order].alias(order)).join(df, [key, order])
 
 
+@F.pandas_udf(T.StructType([T.StructField("exits", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]))
+def _through(lengths: pd.Series, own: pd.Series, max_chars: pd.Series, max_texts: pd.Series) -> pd.DataFrame:
+    """For each place at which a block's first slice may begin: where the next block's begins, and how many begin here."""
+    out = []
+    for ns, n, chars, texts in zip(lengths, own, max_chars, max_texts):
+        ends = _ends(ns.tolist(), n, chars, texts)
+        exits, counts = [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            e = ends[i]
+            exits[i], counts[i] = (e - n, 1) if e >= n else (exits[e], counts[e] + 1)
+        exits, counts = exits[:texts], counts[:texts]
+        out.append((exits + [i - n for i in range(len(exits), texts)], counts + [0] * (texts - len(counts))))
+    return pd.DataFrame(out, columns=["exits", "counts"])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _numbers(lengths: pd.Series, own: pd.Series, max_chars: pd.Series, max_texts: pd.Series, enter: pd.Series, base: pd.Series) -> pd.Series:
+    """Slice numbers of a block's texts. Its first ``enter`` texts belong to the slice before ``base``."""
+    out = []
+    for ns, n, chars, texts, at, no in zip(lengths, own, max_chars, max_texts, enter, base):
+        ends, numbers = _ends(ns.tolist(), n, chars, texts), [no - 1] * min(at, n)
+        while at < n:
+            numbers += [no] * (min(ends[at], n) - at)
+            at, no = ends[at], no + 1
+        out.append(numbers)
+    return pd.Series(out, dtype=object)
+
+
+def _ends(ns: list[int], own: int, max_chars: int, max_texts: int) -> list[int]:
+    """Where a slice ends that begins at each of the block's own texts; ``ns`` goes on into the next block."""
+    out, end, chars = [], 0, 0
+    for i in range(own):
+        if end <= i:
+            end, chars = i + 1, ns[i]
+        while end < len(ns) and end - i < max_texts and chars + ns[end] <= max_chars:
+            chars += ns[end]
+            end += 1
+        out.append(end)
+        chars -= ns[i]
+    return out
+
+
 def pack_slices(df: DataFrame, keys: list[str], order: str, length: str, max_chars: int = 3000, max_texts: int = 25, block: int = 20_000) -> DataFrame:
     """Greedy slices of at most ``max_chars`` and ``max_texts`` in order; a text that is longer stands alone.
 
-    A running sum with reset is no window function; it is folded over ordered lists of at most ``block`` texts, so a
-    key that holds a third of all rows is folded in many tasks. Slices are numbered within key and block.
+    A running sum with reset is no window function; it is folded over ordered lists of at most ``block`` texts and the
+    few that follow them. A slice that a block inherits covers less than ``max_texts`` of its texts, so each block is
+    folded for every place at which its own first slice may begin; the blocks of a key are then chained, and slices
+    are numbered within the key.
     """
-    n = df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / block))
-    lists = n.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(order, F.col(length).cast("int").alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("chars"), F.lit(0).alias("texts"), F.array().cast("array<int>").alias("out"))
+    n = df.select(*keys, order, F.coalesce(F.col(length).cast("int"), F.lit(0)).alias("n"), (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).alias("_rn"))
+    no = F.floor(F.col("_rn") / block).cast("int")
+    ahead = (F.col("_rn") % block < max_texts - 1) & (no > 0)
+    n = n.withColumn("block", F.explode(F.when(ahead, F.sequence(F.greatest(F.floor((F.col("_rn") - max_texts + 1) / block).cast("int"), F.lit(0)), no)).otherwise(F.array(no))))
+    lists = n.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("_rn", order, "n"))).alias("rows"))
+    lists = lists.withColumn("own", F.least(F.size("rows"), F.lit(block)))
+    given = [F.col("rows.n"), F.col("own"), F.lit(max_chars), F.lit(max_texts)]
+    jumps = lists.select(*keys, "block", _through(*given).alias("j")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "j.exits", "j.counts"))).alias("blocks"))
+    start = F.struct(F.lit(0).alias("enter"), F.lit(0).alias("base"), F.array().cast("array<struct<block:int,enter:int,base:int>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        full = (s["texts"] > 0) & ((s["chars"] + x["n"] > max_chars) | (s["texts"] >= max_texts))
-        no = F.when(full, s["no"] + 1).otherwise(s["no"])
-        return F.struct(
-            no.alias("no"), F.when(full, x["n"]).otherwise(s["chars"] + x["n"]).alias("chars"), F.when(full, 1).otherwise(s["texts"] + 1).alias("texts"), F.concat(s["out"], F.array(no)).alias("out")
-        )
-
-    done = lists.withColumn("no", F.aggregate("rows", start, step)["out"])
+        here = F.struct(x["block"].alias("block"), s["enter"].alias("enter"), s["base"].alias("base"))
+        return F.struct(F.get(x["exits"], s["enter"]).alias("enter"), (s["base"] + F.get(x["counts"], s["enter"])).alias("base"), F.concat(s["out"], F.array(here)).alias("out"))
+
+    begins = jumps.select(*[F.col(k).alias(f"_{k}") for k in keys], F.inline(F.aggregate("blocks", start, step)["out"])).withColumnRenamed("block", "_block")
+    same = F.col("block") == F.col("_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    done = lists.join(begins, same).select(*keys, "block", F.slice("rows", F.lit(1), F.col("own")).alias("rows"), _numbers(*given, F.col("enter"), F.col("base")).alias("no"))
     zipped = F.explode(F.arrays_zip("rows", "no")).alias("z")
     return done.select(*keys, "block", zipped).select(*keys, "block", F.col(f"z.rows.{order}").alias(order), F.col("z.rows.n").alias("n_chars"), F.col("z.no").alias("slice_no"))
 

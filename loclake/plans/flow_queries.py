@@ -190,7 +190,7 @@ def slice_packing(spark, d):
     """Slices of unique texts by engine and language."""
     r = t(spark, d, "results").where("original_text is not null and engine is not null")
     u = r.groupBy("engine", "target_lang", "original_text").agg(F.min("result_id").alias("result_id")).withColumn("n", F.length("original_text"))
-    return relational.pack_slices(u, ["engine", "target_lang"], "result_id", "n").where("block = 0").select("result_id", "n_chars", "slice_no")
+    return relational.pack_slices(u, ["engine", "target_lang"], "result_id", "n").select("result_id", "n_chars", "slice_no")
 
 
 @query("""SELECT result_id, ((row_number() OVER (PARTITION BY target_lang ORDER BY result_id) - 1) // 200)::INT AS batch_no, ((row_number() OVER (PARTITION BY target_lang ORDER BY result_id) - 1) % 3)::INT AS slot FROM results""")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from loclake.operators import extract, fuzzy, glossary, health, metrics, relational, tl, translate
+from loclake.plans import flow_queries
 from loclake.sources import sinks
 
 
@@ -38,6 +39,28 @@ def test_packing_against_loop(spark):
     assert {(r["k"], r["i"]): r["slice_no"] for r in got} == want
 
 
+def test_packing_across_blocks(spark):
+    rng = random.Random(3)
+    rows = [(k, i, rng.choice([1, 40, 800, 3500])) for k in ("a", None) for i in range(200)] + [("short", i, 1) for i in range(90)]
+    want, no, chars, n = {}, {}, {}, {}
+    for k, i, ln in rows:
+        if k in no and (chars[k] + ln > 3000 or n[k] >= 25):
+            no[k], chars[k], n[k] = no[k] + 1, 0, 0
+        no.setdefault(k, 0)
+        chars[k], n[k] = chars.get(k, 0) + ln, n.get(k, 0) + 1
+        want[k, i] = no[k]
+    for block in (7, 25, 64):
+        got = relational.pack_slices(df(spark, rows, "k string, i long, n int"), ["k"], "i", "n", block=block).collect()
+        assert len(got) == len(rows) and {(r["k"], r["i"]): r["slice_no"] for r in got} == want
+
+
+def test_slice_packing_keeps_every_text(spark, tmp_path):
+    rows = spark.range(20_100).selectExpr("id AS result_id", "'e' AS engine", "'tr' AS target_lang", "concat('text ', id) AS original_text")
+    rows.write.parquet(str(tmp_path / "results.parquet"))
+    got = flow_queries.QUERIES["slice_packing"](spark, str(tmp_path)).agg(F.count("*"), F.countDistinct("slice_no"), F.max("slice_no")).first()
+    assert tuple(got) == (20_100, 804, 803)
+
+
 def test_keep_first_and_missing(spark):
     a = df(spark, [("x", 2), ("x", 1), ("y", 3), (None, 4)], "text string, seq long")
     assert {(r[0], r[1]) for r in relational.keep_first(a, ["text"], ["seq"]).collect()} == {("x", 1), ("y", 3), (None, 4)}
