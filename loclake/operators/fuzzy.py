@@ -1,14 +1,15 @@
 """Fuzzy recovery of old translations, and translation memory.
 
-The score is the ratio of matching blocks (2·matches / length, as in Python's difflib). Candidates come from two sound
-bounds: by length, and by common characters; both are checked before any alignment. Old and new texts meet on pairs of
-adjacent words that few old texts hold: texts without a rare pair in common are not compared.
+The score is the ratio of matching blocks (2·matches / length, as in Python's difflib). Every new text meets every old
+one; bounds that lose nothing (lengths, common grams, the common subsequence) say which pairs are scored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,35 +56,212 @@ def percent(score: Column) -> Column:
     return F.floor(score * 100).cast("int")
 
 
+#: Length of the shared grams, places they are hashed to, and cells of one block of the alignment (old texts · words of bits).
+GRAM, PLACES, CELLS = 5, 4096, 8000
+#: Texts of a tile; least number of tiles a side, so that small inputs are compared in parallel too.
+TILE, TILES = 10_000, 5
+#: difflib treats characters of a second text of this length as popular where they are frequent, and starts no match at them.
+JUNK_FROM = 200
+#: Places characters are counted in; below so many texts each is aligned alone.
+BAG, ALONE = 32, 60
+_BITS = 62
+_WORD = (1 << _BITS) - 1
+
+
+def _unpopular(x: str) -> int:
+    """Characters at which difflib can start a match in a long second text."""
+    most = len(x) // 100 + 1
+    return sum(c for c in Counter(x).values() if c <= most)
+
+
+def _grams(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), PLACES), np.float32)
+    for i, x in enumerate(texts):
+        if len(x) >= GRAM:
+            c = np.array([*map(ord, x)], np.uint64)
+            h = np.zeros(len(c) - GRAM + 1, np.uint64)
+            for j in range(GRAM):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : len(c) - GRAM + 1 + j]
+            np.add.at(out[i], ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(PLACES), 1)
+    return out
+
+
+def common_subsequence(a: str, b: str) -> int:
+    at: dict[str, int] = {}
+    for j, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for c in a:
+        m = at.get(c)
+        if m:
+            u = v & m
+            v = (v + u | v - u) & full
+    return len(b) - v.bit_count()
+
+
+def _bags(texts: list[str]) -> np.ndarray:
+    """How often characters occur, by their code's place: characters that share one are taken for equal."""
+    out = np.zeros((len(texts), BAG), np.int16)
+    for i, x in enumerate(texts):
+        for c, n in Counter(x).items():
+            out[i, ord(c) % BAG] = min(out[i, ord(c) % BAG] + n, 32_767)
+    return out
+
+
+class _Aligner:
+    """Longest common subsequences of one text with a block of others, bit-parallel; matching blocks are never longer."""
+
+    def __init__(self, texts: list[str]):
+        self.words = max(1, -(-max(map(len, texts)) // _BITS))
+        self.at: dict[str, int] = {}
+        for x in texts:
+            for c in x:
+                self.at.setdefault(c, len(self.at))
+        table = np.zeros((len(self.at), self.words, len(texts)), np.int64)
+        for i, x in enumerate(texts):
+            for j, c in enumerate(x):
+                table[self.at[c], j // _BITS, i] |= 1 << (j % _BITS)
+        self.table, self.texts = table, texts
+
+    def lengths(self, a: str, which: np.ndarray) -> np.ndarray:
+        if len(which) < ALONE:
+            return np.array([common_subsequence(a, self.texts[j]) for j in which])
+        v = np.full((self.words, len(which)), _WORD, np.int64)
+        rows: dict[int, np.ndarray] = {}
+        for c in a:
+            k = self.at.get(c)
+            if k is None:
+                continue
+            if k not in rows:
+                rows[k] = self.table[k][:, which]
+            m = rows[k]
+            u = v & m
+            rest = v ^ u
+            carry = 0
+            for w in range(self.words):
+                total = v[w] + u[w] + carry
+                carry = total >> _BITS
+                v[w] = (total & _WORD) | rest[w]
+        return (_BITS - np.bitwise_count(v).astype(np.int64)).sum(axis=0)
+
+
+def similar_pairs(new: list[str], old: list[str], threshold: float) -> list[tuple[str, str, float]]:
+    """All pairs of at least the threshold. Pairs are only left out by bounds that no pair above it fails:
+
+    * the matching blocks are a common subsequence, which covers ``threshold`` of both lengths, and common characters;
+    * in an old text of ``JUNK_FROM`` characters or more each block but the first holds an unpopular character of it, so
+      there are few blocks, and all but ``GRAM - 1`` of each block's characters begin a common gram.
+    """
+    new, old = sorted(new, key=len), sorted(old, key=len)
+    sizes, out, at = np.array([*map(len, new)]), [], 0
+    while at < len(old):
+        # a block of old texts of about the same length
+        end = at + 1
+        while end < len(old) and end - at < 4000 and (end + 1 - at) * -(-len(old[end]) // _BITS) <= CELLS and (len(old[end]) < JUNK_FROM or len(old[at]) >= JUNK_FROM):
+            end += 1
+        block = old[at:end]
+        at = end
+        ln = np.array([*map(len, block)])
+        lo = np.searchsorted(sizes, int(ln[0] * threshold / (2 - threshold)))
+        hi = np.searchsorted(sizes, int(ln[-1] * (2 - threshold) / threshold) + 1, "right")
+        if lo == hi:
+            continue
+        long = ln[0] >= JUNK_FROM
+        if long:
+            held, blocks = (_grams(block) > 0).astype(np.float32), np.array([_unpopular(x) + 1 for x in block])
+        bags, aligner = _bags(block), None
+        for start in range(lo, hi, 500):
+            some = new[start : min(start + 500, hi)]
+            total = np.array([*map(len, some)])[:, None] + ln[None, :]
+            need = threshold * total / 2 - 1e-6
+            may = need <= np.minimum(np.array([*map(len, some)])[:, None], ln[None, :])
+            if long:
+                may &= _grams(some) @ held.T >= need - (GRAM - 1) * blocks[None, :]
+            counts = _bags(some)
+            for i in np.flatnonzero(may.any(axis=1)):
+                which = np.flatnonzero(may[i])
+                if ln[-1] < 32_767:
+                    which = which[np.minimum(bags[which], counts[i]).sum(axis=1) >= need[i, which]]
+                if not len(which):
+                    continue
+                aligner = aligner or _Aligner(block)
+                for j in which[aligner.lengths(some[i], which) >= need[i, which]]:
+                    r = ratio(some[i], block[j])
+                    if r >= threshold:
+                        out.append((some[i], block[j], r))
+    return out
+
+
+def scored_pairs(new: DataFrame, old: DataFrame, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct texts k of new and ok of old (within equal keys) whose similarity reaches the threshold: all of them.
+
+    Every new text meets every old one whose length allows it, tile by tile, so the work grows with the product of both sides.
+    """
+    n, o = new.where("k is not null").select(*keys, "k").distinct().persist(), old.where("ok is not null").select(*keys, "ok").distinct().persist()
+    tn, to = max(TILES, -(-n.count() // TILE)), max(TILES, -(-o.count() // TILE))
+    tile = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    n = n.withColumn("i", tile("k", tn)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(to - 1))))
+    o = o.withColumn("j", tile("ok", to)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(tn - 1))))
+    by = [*keys, "i", "j"]
+
+    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        got = similar_pairs(a["k"].tolist(), b["ok"].tolist(), threshold) if len(a) and len(b) else []
+        return pd.DataFrame([(*key[: len(keys)], *g) for g in got], columns=[*keys, "k", "ok", "similarity"])
+
+    types = {f.name: f.dataType for f in n.schema}
+    schema = T.StructType([*[T.StructField(c, types[c]) for c in keys], T.StructField("k", T.StringType()), T.StructField("ok", T.StringType()), T.StructField("similarity", T.DoubleType())])
+    parts = max(int(n.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(tn * to, 200))
+    return n.repartition(parts, *by).groupBy(*by).cogroup(o.repartition(parts, *by).groupBy(*by)).applyInPandas(compare, schema)
+
+
+#: Scored pairs that the driver may hold to finish the assignment.
+FEW = 100_000
+
+
+def one_to_one(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (new_id, old_id, similarity) the best, then the best of those whose ends are both free, and so on.
+
+    A pair is taken as soon as no better one touches either end; rounds go on until no pair is left, the last of them
+    on the driver, where few pairs remain. Ties go to the smaller new id, then to the smaller old id.
+    """
+    spark, left, taken = pairs.sparkSession, pairs.withColumn("_d", -F.col("similarity")).persist(), []
+    while left.count() > FEW:
+        order = F.struct("_d", "new_id", "old_id")
+        a = left.groupBy("new_id").agg(F.min(order).alias("b")).select("b.*")
+        b = left.groupBy("old_id").agg(F.min(order).alias("b")).select("b.new_id", "b.old_id")
+        now = a.join(b, ["new_id", "old_id"]).localCheckpoint()
+        taken.append(now.select("new_id", "old_id", (-F.col("_d")).alias("similarity")))
+        rest = left.join(now.select("new_id"), "new_id", "left_anti").join(now.select("old_id"), "old_id", "left_anti").localCheckpoint()
+        left.unpersist()
+        left = rest
+    done_new, done_old, out = set(), set(), []
+    for r in sorted(left.select("_d", "new_id", "old_id").collect()):
+        if r["new_id"] not in done_new and r["old_id"] not in done_old:
+            done_new.add(r["new_id"])
+            done_old.add(r["old_id"])
+            out.append((r["new_id"], r["old_id"], -r["_d"]))
+    schema = T.StructType([pairs.schema["new_id"], pairs.schema["old_id"], T.StructField("similarity", T.DoubleType())])
+    result = spark.createDataFrame(out, schema)
+    for x in taken:
+        result = result.unionByName(x)
+    return result
+
+
 def match(new: DataFrame, old: DataFrame, threshold: float = 0.7, auto: float = 0.9) -> DataFrame:
     """Best old text of each new one: new (new_id, new_original), old (old_id, old_original, old_translation).
 
-    Equal texts pair up first, one to one. The rest meets on pairs of words that at most one old text in 1000 holds (three
-    may): two such pairs, or one in texts of less than 60 characters. Candidates below the bounds are dropped, the
-    others scored, and of one new text's the best stays, then of one old text's. Ties go to the smaller id. Texts that
-    share no such pairs only take part in the exact stage.
+    Equal texts pair up first, one to one. Of the rest all pairs of at least ``threshold`` are scored and assigned one
+    to one, the most similar first, until no pair of free texts is left. Ties go to the smaller ids.
     """
-    bagged = lambda df, c: df.withColumn("k", normalized(F.col(c))).withColumn("bag", letters_of(F.col("k")))
-    n, o = bagged(new, "new_original").persist(), bagged(old, "old_original").persist()
-    exact = pair_up(n.drop("bag"), o.drop("bag"), "k", "new_id", "old_id").withColumn("similarity", F.lit(1.0))
+    keyed = lambda df, c, k: df.withColumn(k, normalized(F.col(c)))
+    n, o = keyed(new, "new_original", "k").persist(), keyed(old, "old_original", "ok").persist()
+    exact = pair_up(n, o.withColumnRenamed("ok", "k"), "k", "new_id", "old_id").withColumn("similarity", F.lit(1.0))
     n, o = n.join(exact.select("new_id"), "new_id", "left_anti"), o.join(exact.select("old_id"), "old_id", "left_anti")
-    tokens = F.regexp_extract_all("k", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    pair_up_words = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.xxhash64(F.element_at("t", i), F.element_at("t", i + 1)))
-    words = lambda df, i: df.withColumn("t", tokens).where("size(t) > 1").select(i, F.explode(F.array_distinct(pair_up_words)).alias("w"))
-    wo = words(o, "old_id")
-    most = max(3, o.count() // 1000)
-    rare = wo.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") <= most).select("w")
-    pairs = words(n, "new_id").join(wo.join(rare, "w"), "w").groupBy("new_id", "old_id").agg(F.count("*").alias("shared"))
-    both = pairs.join(n, "new_id").join(o.withColumnsRenamed({"k": "ok", "bag": "obag"}), "old_id")
-    both = both.where((F.col("shared") > 1) | (F.least(F.length("k"), F.length("ok")) < 60))
-    total = F.length("k") + F.length("ok")
-    both = both.where((length_bound(F.col("k"), F.col("ok")) >= threshold) & (letter_bound(F.col("bag"), F.col("obag"), total) >= threshold))
-    scored = both.withColumn("similarity", ratio_udf("k", "ok")).where(F.col("similarity") >= threshold)
-    cols = ["new_original", "old_id", "old_original", "old_translation", "similarity"]
-    scored = scored.withColumn("_d", -F.col("similarity"))
-    best = keep_first(scored, ["new_id"], ["_d", "old_id"], [*cols, "_d"])
-    best = keep_first(best, ["old_id"], ["_d", "new_id"], ["new_id", "new_original", "old_original", "old_translation", "similarity"])
-    out = exact.select("new_id", *cols).unionByName(best.select("new_id", *cols))
+    scored = scored_pairs(n, o, threshold)
+    pairs = scored.join(n.select("new_id", "k"), "k").join(o.select("old_id", "ok"), "ok").select("new_id", "old_id", "similarity")
+    best = one_to_one(pairs).join(n.select("new_id", "new_original"), "new_id").join(o.select("old_id", "old_original", "old_translation"), "old_id")
+    cols = ["new_id", "new_original", "old_id", "old_original", "old_translation", "similarity"]
+    out = exact.select(*cols).unionByName(best.select(*cols))
     return out.withColumn("auto_apply", F.col("similarity") >= auto)
 
 

@@ -175,3 +175,35 @@ def test_engine_and_cache(spark):
     assert got == {0: "A", 1: "A", 2: None, 3: "K", 4: None}
     parts = translate.split_joined(df(spark, [("x\n|||\n y ", 2), ("x", 2)], "r string, n int"), "r", "n").collect()
     assert [r["parts"] for r in parts] == [["x", "y"], None]
+
+
+def test_similar_pairs_lose_nothing():
+    rng = random.Random(6)
+    base = ["".join(rng.choice("aaeeiioo nntt rsl") + rng.choice("bcdfgh ,.uvwz") for _ in range(rng.randrange(3, 170))) for _ in range(12)]
+    base += ["".join(chr(0x4E00 + i + 300 * n) for i in range(260)) for n in range(2)]
+
+    def edit(x):
+        rate = rng.choice([0.01, 0.12])
+        return "".join(rng.choice("xyz") if rng.random() < rate else c for c in x)[rng.randrange(3) :]
+
+    old, new = sorted({*base, *map(edit, base), "", "ü", "日本語"}), sorted({edit(x) for x in base * 2} | {"ü!", "日本", ""})
+    want = {(a, b): fuzzy.ratio(a, b) for a in new for b in old}
+    assert {(a, b): r for a, b, r in fuzzy.similar_pairs(new, old, 0.7)} == {k: r for k, r in want.items() if r >= 0.7}
+    assert any(len(a) > 200 and a != b for (a, b), r in want.items() if r >= 0.7)
+
+
+def test_fuzzy_family_and_second_choice(spark, monkeypatch):
+    # word pairs that every old text holds, and a best old text that two new ones share
+    old = [(f"o{i}", f"the captain waits at gate number {c} until the last boat", f"t{i}") for i, c in enumerate("abcdefgh")]
+    new = [(f"n{i}", f"the captain waits at gate number {c} until the last boats") for i, c in enumerate("aabcdefg")]
+    want, free_n, free_o = {}, {n for n, _ in new}, {o for o, _, _ in old}
+    for d, n, o in sorted((-fuzzy.ratio(x, y), n, o) for n, x in new for o, y, _ in old):
+        if n in free_n and o in free_o:
+            want[n] = (o, -d)
+            free_n.remove(n)
+            free_o.remove(o)
+    sides = df(spark, new, "new_id string, new_original string"), df(spark, old, "old_id string, old_original string, old_translation string")
+    for few in (fuzzy.FEW, 3):
+        monkeypatch.setattr(fuzzy, "FEW", few)
+        got = {r["new_id"]: (r["old_id"], r["similarity"]) for r in fuzzy.match(*sides).collect()}
+        assert got == want and len(got) == 8
