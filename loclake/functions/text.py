@@ -1,12 +1,17 @@
-"""Text functions on columns: masking, restoring, ids, escapes, pseudo-translation. No Python runs per row.
+"""Text functions on columns: masking, restoring, ids, escapes, pseudo-translation. No Python runs per row, but
+for unicode escapes.
 
-All of them give null for null.
+All of them give null for null, but for ids of literals.
 """
 
 from __future__ import annotations
 
+import warnings
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Token forms and masks of the localization format.
 PROTECT = r"(\{\{|\}\}|\{[^\}]+\}|\[[^\[\]]+\]|\?[A-Za-z]\d{3}\?|⟦[^⟧]+⟧)"
@@ -117,6 +122,37 @@ def translation_id(path: Column, line: Column, context: Column, text: Column) ->
     return F.concat(F.lit("id_"), F.substr(F.sha1(base), F.lit(1), F.lit(16)))
 
 
+def resolved(text: str | None) -> str:
+    """The form of a literal that ids are made of: no outer quotes, line feeds, escapes resolved where they are valid.
+
+    Escapes are resolved over the UTF-8 bytes read as Latin-1; where one is invalid only the common ones are replaced.
+    """
+    x = text or ""
+    if x.startswith('"') and x.endswith('"') or x.startswith("'") and x.endswith("'"):
+        x = x[1:-1]
+    x = x.replace("\r\n", "\n").replace("\r", "\n")
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            x = x.encode("utf-8").decode("unicode_escape")
+    except UnicodeError:
+        pass
+    for a, b in (("\\r\\n", "\n"), ("\\r", "\n"), ("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\'", "'"), ("\\\\", "\\"), ("\r\n", "\n"), ("\r", "\n")):
+        x = x.replace(a, b)
+    return x.encode("utf-8", "ignore").decode("utf-8")
+
+
+@F.pandas_udf(T.StringType())
+def resolved_udf(x: pd.Series) -> pd.Series:
+    return pd.Series([resolved(v) for v in x], dtype=object)
+
+
+def translation_id_of_literal(path: Column, line: Column, context: Column, text: Column) -> Column:
+    """``translation_id`` of a text as written, escapes included."""
+    base = F.concat_ws("|", F.replace(path, F.lit("\\"), F.lit("/")), line.cast("string"), F.coalesce(F.array_join(context, "|"), F.lit("")), resolved_udf(text))
+    return F.concat(F.lit("id_"), F.substr(F.sha1(base), F.lit(1), F.lit(16)))
+
+
 def hash_id(path: Column, line: Column, context: Column, text: Column) -> Column:
     base = F.concat(F.coalesce(path, F.lit("")), F.lit(":"), line.cast("string"), F.lit(":"), F.coalesce(F.array_join(context, "|"), F.lit("")), F.lit(":"), text)
     return F.concat(F.lit("id_"), F.substr(F.sha1(base), F.lit(1), F.lit(16)))

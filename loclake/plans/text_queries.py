@@ -309,6 +309,13 @@ def translation_id(spark, d):
     return e.select("tl_id", X.translation_id(F.col("file_path"), F.col("line_number"), F.col("context_path"), F.col("original_text")).alias("id"))
 
 
+@query()
+def translation_id_all(spark, d):
+    """T14 over all rows, with characters beyond ASCII and escapes resolved; unicode escapes have no SQL."""
+    e = t(spark, d, "tl_entries")
+    return e.select("tl_id", X.translation_id_of_literal(F.col("file_path"), F.col("line_number"), F.col("context_path"), F.col("original_text")).alias("id"))
+
+
 @query("""SELECT entry_id, 'id_' || substr(sha1(coalesce(file_path, '') || ':' || line_number || ':' || coalesce(array_to_string(context_path, '|'), '') || ':' || text), 1, 16) AS id, 'strings_' || substr(md5(text), 1, 8) AS block FROM entries""")
 def hash_id(spark, d):
     """T15 and T16."""
@@ -379,3 +386,11 @@ def version_numbers(spark, d):
     e = t(spark, d, "documents").where(F.col("text").rlike(r"\A# "))
     parts = F.transform(F.regexp_extract_all(F.substr("text", F.lit(1), F.lit(200)), F.lit(r"\d{1,6}"), F.lit(0)), lambda v: v.cast("int").cast("string"))
     return e.select("doc_id", F.array_join(parts, ".").alias("version"))
+
+
+@query()
+def version_numbers_all(spark, d):
+    """T30 on whole texts, with whole numbers of any length."""
+    e = t(spark, d, "documents").where(F.col("text").rlike(r"\A# "))
+    parts = F.transform(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)), lambda v: F.regexp_replace(v, r"\A0+(?=\d)", ""))
+    return e.select("doc_id", F.array_join(parts, ".").alias("version"))
