@@ -1,12 +1,16 @@
 """Problem 8: encoding of the whole corpus with a public tokenizer.
 
-The words of a text (pieces between which no merge happens) that are tokens themselves are looked up at once. Of all
-other words the distinct ones are merged, once for the whole corpus: higher-order functions fold the ranked merges
-over the array of the word's bytes, with the ranks as one literal of the plan. A linear map would be searched from its
-beginning at each lookup, so the literal is an array of small maps, addressed by a checksum of the key. Words beyond
-``LONGEST`` bytes, for which the fold's quadratic number of steps is too dear, are merged by the tokenizer's own
-library. A dictionary of (word, ids) joins each document's distinct unresolved words, never the whole dictionary a
-broadcast. Decoding looks tokens up in a literal array and concatenates their bytes.
+Texts are split into words (pieces between which no merge happens). Arrow batches are cut into slices of at most
+``SLICE`` words; a slice is written once as one row: the numbers of its documents' words and its distinct words. The
+distinct words of all slices meet by their bytes, so every word of the corpus is merged once, however often it occurs:
+higher-order functions fold the ranked merges over the array of the word's bytes, with the ranks as one literal of the
+plan. A linear map would be searched from its beginning at each lookup, so the literal is an array of small maps,
+addressed by a checksum of the key. The ids of a slice's words go back to the
+slice, where the numbers of the documents' words pick them. Decoding looks tokens up in a literal array and
+concatenates their bytes.
+
+Words above ``WHOLE`` bytes are first cut where no token of the vocabulary reaches across (``safe_cuts``): no merge
+happens there either. A word that a third of all texts hold is one row per slice; nothing is broadcast but the ranks.
 
 Null and empty texts have an empty list.
 """
@@ -15,17 +19,23 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loclake.llm.bpe import BPE_50K, JAVA_PATTERN, encode, path_of, ranks
+from loclake.llm.bpe import BPE_50K, JAVA_PATTERN, path_of, ranks
 from loclake.llm.common import bucketed, spread, table
 
-#: Small maps in the literal of ranks; places in that of whole words; longest word in bytes that is folded.
-BUCKETS, PLACES, LONGEST, NO_RANK = 1 << 14, 1 << 17, 20, 1 << 30
+#: Small maps in the literal of ranks; words of a slice; bytes up to which a word isn't cut; pieces up to which pairs are
+#: merged one at a time (beyond, all equal pairs at once: the same merges in fewer, longer steps).
+BUCKETS, SLICE, WHOLE, SINGLE, NO_RANK = 1 << 14, 1_000_000, 16, 64, 1 << 30
+
+
+# --- merging ------------------------------------------------------------------------------------------------------
 
 
 def rank_literal(path: str) -> Column:
@@ -37,38 +47,6 @@ def rank_literal(path: str) -> Column:
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def word_literal(path: str) -> Column:
-    """Ranks of the tokens that are texts of their own: struct(arrays of words and of ranks).
-
-    A word stands at one of two places that its checksum names, so a lookup is at most two comparisons.
-    """
-    words: list[str | None] = [None] * PLACES
-    rank = [0] * PLACES
-    for t, r in ranks(path).items():
-        try:
-            item = (t.decode(), r)
-        except UnicodeDecodeError:
-            continue
-        at = zlib.crc32(item[0].encode()) % PLACES
-        for _ in range(1000):
-            held = words[at], rank[at]
-            words[at], rank[at] = item
-            if held[0] is None:
-                break
-            item = held  # the one that stood there moves to its other place
-            crc = zlib.crc32(item[0].encode())
-            at = crc >> 15 if at == crc % PLACES else crc % PLACES
-        else:
-            raise ValueError("too few places")
-    return F.from_json(F.lit(json.dumps({"w": words, "r": rank}, separators=(",", ":"), ensure_ascii=False)), "struct<w:array<string>,r:array<int>>")
-
-
-def word_rank(words: Column, rank: Column, word: Column) -> Column:
-    """Rank of a word that is a token, else null."""
-    one, two = (F.crc32(word) % PLACES).cast("int"), F.shiftright(F.crc32(word), 15).cast("int")
-    return F.when(F.get(words, one) == word, F.get(rank, one)).when(F.get(words, two) == word, F.get(rank, two))
-
-
 def rank_of(table_: Column, key: Column) -> Column:
     """Rank of a piece given as hexadecimal bytes, null if it is no token."""
     return F.try_element_at(F.get(table_, (F.crc32(key) % BUCKETS).cast("int")), key)
@@ -79,62 +57,200 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _pair_ranks(table_: Column, pieces: Column) -> Column:
+    """Rank of each piece with the next one, ``NO_RANK`` for the last and where they make no token."""
+    return F.transform(pieces, lambda p, i: F.coalesce(rank_of(table_, F.concat(p, F.get(pieces, i + 1))), F.lit(NO_RANK)))
+
+
+def _bytes(hexed: Column) -> Column:
+    return F.regexp_extract_all(hexed, F.lit(".."), F.lit(0))
+
+
 def merge_fold(table_: Column, hexed: Column) -> Column:
-    """Ids of a word from its hexadecimal bytes: the best-ranked adjacent pair merges until none has a rank."""
-    n = (F.length(hexed) / 2).cast("int")
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(hexed, i * 2 - 1, F.lit(2)))
+    """Ids of a word from its hexadecimal bytes: the best-ranked adjacent pair merges until none has a rank.
+
+    The ranks of the pairs travel with the pieces; a merge changes two of them.
+    """
 
-    def step(pieces: Column, _: Column) -> Column:
-        # (rank, place) of each adjacent pair; the smallest merges, leftmost first
-        pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: F.concat(a, b))
-        ranked = F.transform(pairs, lambda p, i: F.struct(F.coalesce(rank_of(table_, p), F.lit(NO_RANK)).alias("r"), i.alias("i"), p.alias("p")))
-        merge = lambda b: F.concat(F.slice(pieces, F.lit(1), b["i"]), F.array(b["p"]), F.slice(pieces, b["i"] + 3, F.size(pieces)))
-        return F.when(F.size(pieces) < 2, pieces).otherwise(let(F.array_min(ranked), lambda b: F.when(b["r"] == NO_RANK, pieces).otherwise(merge(b))))
+    def merged(s: Column, best: Column, i: Column) -> Column:
+        ps, rs = s["p"], s["r"]
+        new = F.concat(F.get(ps, i - 1), F.get(ps, i))
+        before = F.when(i > 1, F.array(F.coalesce(rank_of(table_, F.concat(F.get(ps, i - 2), new)), F.lit(NO_RANK)))).otherwise(F.array().cast("array<int>"))
+        after = F.array(F.coalesce(rank_of(table_, F.concat(new, F.get(ps, i + 1))), F.lit(NO_RANK)))
+        pieces = F.concat(F.slice(ps, F.lit(1), i - 1), F.array(new), F.slice(ps, i + 2, F.size(ps)))
+        return F.struct(pieces.alias("p"), F.concat(F.slice(rs, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(rs, i + 2, F.size(rs))).alias("r"))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), single, step)
+    def step(s: Column, _: Column) -> Column:
+        at = lambda best: F.when(best == NO_RANK, s).otherwise(let(F.array_position(s["r"], best).cast("int"), lambda i: merged(s, best, i)))
+        return let(F.array_min(s["r"]), at)
+
+    begin = let(_bytes(hexed), lambda b: F.struct(b.alias("p"), _pair_ranks(table_, b).alias("r")))
+    n = (F.length(hexed) / 2).cast("int")
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, step, lambda s: s["p"])
     return F.transform(done, lambda p: rank_of(table_, p))
 
 
-def merge_udf(path: str):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def merge(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else encode(w, path).astype("int32"), na_action="ignore")
+def merge_rounds(table_: Column, hexed: Column) -> Column:
+    """The same for long words: a step merges every occurrence of the best-ranked pair, from left to right.
+
+    A pair that a merge makes is never ranked better than the merge, so the order of merges is the same. The state is
+    one text with each piece in brackets.
+    """
 
-    return merge
+    def step(s: Column, _: Column) -> Column:
+        def pairs(ps: Column) -> Column:
+            return F.transform(ps, lambda p, i: F.struct(F.coalesce(rank_of(table_, F.concat(p, F.get(ps, i + 1))), F.lit(NO_RANK)).alias("r"), p.alias("a"), F.get(ps, i + 1).alias("b")))
+
+        put = lambda b: F.when(b["r"] == NO_RANK, F.struct(s["t"].alias("t"), F.lit(True).alias("done"))).otherwise(
+            F.struct(F.replace(s["t"], F.concat(F.lit("<"), b["a"], F.lit("><"), b["b"], F.lit(">")), F.concat(F.lit("<"), b["a"], b["b"], F.lit(">"))).alias("t"), F.lit(False).alias("done"))
+        )
+        pieces = F.regexp_extract_all(s["t"], F.lit("[0-9A-F]+"), F.lit(0))
+        return F.when(s["done"], s).otherwise(let(pieces, lambda ps: let(F.array_min(pairs(ps)), put)))
+
+    n = (F.length(hexed) / 2).cast("int")
+    begin = F.struct(F.regexp_replace(hexed, "(..)", "<$1>").alias("t"), F.lit(False).alias("done"))
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, step, lambda s: s["t"])
+    return F.transform(F.regexp_extract_all(done, F.lit("[0-9A-F]+"), F.lit(0)), lambda p: rank_of(table_, p))
 
 
 def dictionary(words: DataFrame, path: str) -> DataFrame:
-    """(w, ids) of distinct words that are no tokens themselves."""
-    hexed = F.hex(F.encode("w", "UTF-8"))
-    short = F.length(hexed) <= 2 * LONGEST
-    folded = words.where(short).select("w", let(rank_literal(path), lambda t: merge_fold(t, hexed)).alias("ids"))
-    return folded.unionByName(words.where(~short).select("w", merge_udf(path)("w").alias("ids")))
+    """(w, ids) of distinct words given as binary."""
+    hexed = F.hex("w")
+    ids = let(rank_literal(path), lambda t: F.when(F.length(hexed) <= 2 * SINGLE, merge_fold(t, hexed)).otherwise(merge_rounds(t, hexed)))
+    return words.select("w", ids.alias("ids"))
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) of (doc_id, text); ``doc_id`` must be unique.
+# --- words of slices ----------------------------------------------------------------------------------------------
+
 
-    A text becomes an array of codes: the id of a word that is a token, or -k for the k-th of the text's other distinct
-    words. Codes are written once, bucketed by document, so that only those distinct words and their ids are shuffled.
+@lru_cache(maxsize=2)
+def crossings(path: str) -> list[np.ndarray]:
+    """What tokens hold around each place inside them, as sorted numbers: a byte or two before, a byte or two after.
+
+    Four lists: exactly one or at least two bytes before, with exactly one or at least two after.
     """
+    held: list[set[int]] = [set(), set(), set(), set()]
+    for t in ranks(path):
+        for i in range(1, len(t)):
+            before, after = t[max(0, i - 2) : i], t[i : i + 2]
+            one = len(before) == 1, len(after) == 1
+            held[2 * (not one[0]) + (not one[1])].add(int.from_bytes(before + after, "big"))
+    return [np.array(sorted(h), np.int64) for h in held]
+
+
+def safe_cuts(data: np.ndarray, path: str) -> np.ndarray:
+    """For each byte whether no token can reach from the bytes before it across to it (the first byte counts as cut)."""
+    n = len(data)
+    out = np.ones(n, bool)
+    if n < 2:
+        return out
+    x = data.astype(np.int64)
+    p2, p1 = np.r_[-1, x[:-2]], x[:-1]  # of place i + 1
+    q1, q2 = x[1:], np.r_[x[2:], -1]
+    keys = (p1 << 8 | q1, np.where(q2 < 0, -1, p1 << 16 | q1 << 8 | q2), np.where(p2 < 0, -1, p2 << 16 | p1 << 8 | q1), np.where((p2 < 0) | (q2 < 0), -1, p2 << 24 | p1 << 16 | q1 << 8 | q2))
+    for key, known in zip(keys, crossings(path)):
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        out[1:] &= known[at] != key
+    return out
+
+
+def cut_words(words: pa.Array, path: str) -> tuple[np.ndarray, pa.Array]:
+    """(parts of each word, the parts): words above ``WHOLE`` bytes divided at safe cuts."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    ends = offsets.astype(np.int64) - offsets[0]
+    size = np.diff(ends)
+    first = np.zeros(len(data) + 1, bool)
+    first[ends] = True
+    long = np.flatnonzero(size > WHOLE)
+    if len(long):
+        # the bytes of long words only, one after another; a word's own first byte is a cut anyhow
+        at = np.repeat(ends[long] - np.r_[0, np.cumsum(size[long])[:-1]], size[long]) + np.arange(size[long].sum())
+        first[at] |= safe_cuts(data[at], path)
+    begins = np.flatnonzero(first)
+    parts = np.searchsorted(begins, ends)
+    return np.diff(parts), pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
+def expand(lists: pa.ListArray, codes: np.ndarray) -> pa.Array:
+    return lists.take(pa.array(codes)).flatten()
+
+
+#: Numbers are kept as bytes: nested columns of integers cost more to write and read than all else a slice needs.
+SLICES = "slice_id long, docs binary, sizes binary, codes binary, words array<binary>"
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of at least 0 as bytes of the smallest width that holds them all, the width in front."""
+    top = int(numbers.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w - (w == 8))
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(data.as_buffer(), np.uint8)
+    return raw[1:].view(f"<u{raw[0]}") if raw[0] == 1 else np.frombuffer(raw[1:].tobytes(), f"<u{raw[0]}")
+
+
+def slice_words(batches: Iterator[pa.RecordBatch], path: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """(doc_id, words) to rows of ``SLICES``. A document isn't divided: a longer one is a slice of its own."""
+    schema = pa.schema([("slice_id", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("words")
+        total = lists.value_lengths().to_numpy().astype(np.int64).cumsum()
+        begin = 0
+        while begin < len(total):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, "right")))
+            part = lists.slice(begin, end - begin)
+            d = part.flatten().cast(pa.binary()).dictionary_encode()
+            codes, n_words = d.indices.to_numpy(zero_copy_only=False), part.value_lengths().to_numpy()
+            n_parts, parts = cut_words(d.dictionary, path)
+            e = parts.dictionary_encode()
+            if len(parts) == len(d.dictionary):
+                codes = e.indices.to_numpy(zero_copy_only=False)[codes]
+            else:
+                inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_parts)].astype(np.int32)), e.indices)
+                per_word = np.r_[0, np.cumsum(n_parts[codes])]
+                n_words = np.diff(per_word[np.r_[0, np.cumsum(n_words)]])
+                codes = expand(inner, codes).to_numpy(zero_copy_only=False)
+            docs = batch.column("doc_id").slice(begin, end - begin)
+            numbers = [pa.array([x], pa.binary()) for x in (docs.to_numpy(zero_copy_only=False).astype("<i8").tobytes(), packed(n_words), packed(codes))]
+            held = pa.ListArray.from_arrays(pa.array([0, len(e.dictionary)], pa.int32()), e.dictionary)
+            yield pa.RecordBatch.from_arrays([docs.slice(0, 1), *numbers, held], schema=schema)
+            begin = end
+
+
+def pick_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices with the ids of their words to (doc_id, ids)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            docs = np.frombuffer(batch.column("docs")[i].as_buffer(), "<i8")
+            sizes, codes = unpacked(batch.column("sizes")[i]), unpacked(batch.column("codes")[i])
+            ids, ks = batch.column("ids")[i].values, batch.column("ks")[i].values.to_numpy(zero_copy_only=False)
+            place = np.empty(len(ks), np.int64)
+            place[ks] = np.arange(len(ks))
+            at = place[codes]
+            flat = expand(ids, at)
+            lengths = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)[at], dtype=np.int64)]
+            ends = lengths[np.r_[0, np.cumsum(sizes, dtype=np.int64)]]
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)], names=["doc_id", "ids"])
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) of (doc_id, text); ``doc_id`` must be unique."""
     full = spread(docs.where("text is not null and text <> ''"))
     split = full.select("doc_id", F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0)).alias("words"))
-    known = let(word_literal(path), lambda t: let(t["w"], lambda ws: let(t["r"], lambda rs: F.transform("words", lambda w: word_rank(ws, rs, w)))))
-    split = split.withColumn("known", known)
-    open_words = F.array_distinct(F.filter("words", lambda w, i: F.get("known", i).isNull()))
-    split = split.withColumn("open", open_words)
-    codes = F.transform("known", lambda k, i: F.coalesce(k, -F.array_position("open", F.get("words", i)).cast("int")))
-    split = bucketed(split.select("doc_id", codes.alias("codes"), "open"), "doc_id")
-    open_ = split.select("doc_id", F.posexplode("open").alias("k", "w"))
-    # the place of a word and its ids travel as one text, a fraction of the size of a structure of few numbers; neither
-    # side of these joins is sorted: the dictionary's and a document's part of it are the smaller ones by far
-    merged = dictionary(open_.select("w").distinct(), path).select("w", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
-    placed = open_.join(merged.hint("shuffle_hash"), "w").select("doc_id", F.concat_ws(" ", F.col("k").cast("string"), "ids").alias("p"))
-    of_doc = placed.groupBy("doc_id").agg(F.collect_list("p").alias("m"))
-    of_doc = of_doc.select("doc_id", F.array_sort(F.transform("m", lambda x: F.split(x, " ").cast("array<int>"))).alias("m"))
-    rest = lambda x: F.slice(x, F.lit(2), F.size(x))
-    ids = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(rest(F.get("m", -c - 1)))))
-    out = split.join(of_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", ids.alias("ids"))
+    slices = bucketed(split.mapInArrow(lambda batches: slice_words(batches, path), SLICES), "slice_id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange serves the distinct words and the places that wait for their ids; a given number of partitions keeps
+    # the merges on all cores, however few bytes the words have
+    words = slices.select("slice_id", F.posexplode("words").alias("k", "w")).repartition(n, "w")
+    merged = dictionary(words.select("w").distinct(), path)
+    found = words.join(merged.hint("shuffle_hash"), "w").groupBy("slice_id").agg(F.collect_list(F.struct("k", "ids")).alias("m"))
+    both = slices.select("slice_id", "docs", "sizes", "codes").join(found.hint("shuffle_hash"), "slice_id")
+    out = both.select("docs", "sizes", "codes", F.col("m.k").alias("ks"), F.col("m.ids").alias("ids")).mapInArrow(pick_ids, "doc_id long, ids array<int>")
     none = docs.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return out.unionByName(none)
 
