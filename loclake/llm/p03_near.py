@@ -2,10 +2,18 @@
 
 Order MinHash: of a text's occurrence-labelled k-mers (here: pairs of adjacent words) each of ``SKETCHES`` hash
 functions takes the ``KEEP`` smallest and writes them down in text order; texts that agree in one such sketch are
-candidates. Two texts of similarity s agree in one sketch with a probability of about s**KEEP, half of it where
-their parts changed places, so that at the threshold of 0.5 a pair is missed with about (1 - 0.125)**SKETCHES,
-5e-6, in the worst case. Candidates are verified by banded alignment, whose matches bound the number of shared
-k-mers from below; only where that bound doesn't decide (moved sentences) the k-mer sets are intersected.
+candidates. A k-mer that more than ``COMMON`` of the texts hold is drawn in proportion to COMMON / share, at every size
+of the table, so that stock phrases rarely decide which texts meet. Two texts of weighted similarity s agree in one
+sketch with a probability of about s**KEEP, half of it where their parts changed places: at 0.5 a pair is missed with
+about (1 - 0.125)**SKETCHES, 5e-6, in the worst case. Texts may be alike by what is common alone (a template with
+little of their own); for texts of which ``TEMPLATE`` or more is common, ``SHARED`` further sketches are drawn from the
+common k-mers only, in which such texts are as good as equal.
+
+A sketch that many texts hold is cut into blocks of ``BLOCK`` texts; pairs of blocks are compared in tasks of their
+own, so no task has the pairs of a whole hot group and none is left out.
+
+Candidates are verified by banded alignment, whose matches bound the number of shared k-mers from below; where that
+bound doesn't decide (moved sentences) the k-mer sets are intersected.
 
 Records with the same words form a class of which one record stands for all while candidates are sought; classes are
 expanded into pairs at the end, because the result wants pairs of records. Records with null text or fewer than two
@@ -15,9 +23,12 @@ words have no k-mers and no partner. An id with several texts (it has one by def
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +36,9 @@ from pyspark.sql import types as T
 from loclake.llm.common import checkpoint, spread, table
 
 #: A k-mer that more than ``COMMON`` of the texts hold weighs less the more of them do.
-SKETCHES, KEEP, THRESHOLD, BAND, COMMON = 90, 2, 0.5, 12, 0.001
+SKETCHES, SHARED, KEEP, THRESHOLD, BAND, COMMON, TEMPLATE, BLOCK = 90, 20, 2, 0.5, 12, 0.001, 0.6, 128
 
-_SEEDS = np.random.default_rng(20240501).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(20240501).integers(1, 2**63, SKETCHES + SHARED, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,8 +47,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def order_sketches(lists: list[np.ndarray], common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """(texts, SKETCHES) hashes of each text's ``KEEP`` smallest occurrence-labelled k-mers in text order.
+def _weights(kmers: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    if not len(common[0]):
+        return np.ones(len(kmers))
+    at = np.minimum(np.searchsorted(common[0], kmers), len(common[0]) - 1)
+    return np.where(common[0][at] == kmers, common[1][at], 1.0)
+
+
+def order_sketches(lists: list[np.ndarray], common: tuple[np.ndarray, np.ndarray], numbers: range = range(SKETCHES)) -> np.ndarray:
+    """(texts, sketches) hashes of each text's ``KEEP`` smallest occurrence-labelled k-mers in text order.
 
     ``common`` has the sorted k-mers that many texts share and their weights below 1: a k-mer is drawn in proportion
     to its weight, so that stock phrases rarely decide which texts meet. No list may be empty.
@@ -53,16 +71,14 @@ def order_sketches(lists: list[np.ndarray], common: tuple[np.ndarray, np.ndarray
                 seen[v] += 1
         p += len(k)
     kmers = np.concatenate(lists)
-    weight = np.ones(len(kmers))
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], kmers), len(common[0]) - 1)
-        weight = np.where(common[0][at] == kmers, common[1][at], 1.0)
-    out = np.empty((len(lists), SKETCHES), np.uint64)
+    weight = _weights(kmers, common).astype(np.float32)
+    out = np.empty((len(lists), len(numbers)), np.uint64)
     short = lens < KEEP
     with np.errstate(over="ignore"):
         x = _mix(kmers.view(np.uint64) + label * np.uint64(0x9E3779B97F4A7C15))
-        for no, seed in enumerate(_SEEDS):
-            draw = -np.log((_mix(x * seed) >> np.uint64(11)).astype(float) * 2.0**-53 + 1e-18) / weight
+        for column, no in enumerate(numbers):
+            seed = _SEEDS[no]
+            draw = -np.log((_mix(x * seed) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24) + np.float32(2.0**-26)) / weight
             picks = []
             for _ in range(KEEP):
                 low = np.minimum.reduceat(draw, starts)
@@ -75,7 +91,7 @@ def order_sketches(lists: list[np.ndarray], common: tuple[np.ndarray, np.ndarray
             h = np.full(len(lists), no + 1, np.uint64)
             for j in range(KEEP):
                 h = _mix(h * np.uint64(31) + x[at[:, j]])
-            out[:, no] = h
+            out[:, column] = h
     return out.view(np.int64)
 
 
@@ -90,14 +106,19 @@ def banded_matches(a: list[int], b: list[int], band: int = BAND) -> int:
     a, b = a[lo:n], b[lo:m]
     if not a or not b:
         return same
-    lean, prev = len(b) - len(a), {}
-    low, high = min(0, lean) - band, max(0, lean) + band
+    # longest common subsequence by bits: one bit a place of ``a``, cleared where the path gains a match
+    at: dict[int, int] = {}
     for i, x in enumerate(a):
-        cur: dict[int, int] = {}
-        for j in range(max(0, i + low), min(len(b), i + high + 1)):
-            cur[j] = prev.get(j - 1, 0) + 1 if x == b[j] else max(prev.get(j, 0), cur.get(j - 1, 0))
-        prev = cur
-    return same + max(prev.values(), default=0)
+        at[x] = at.get(x, 0) | 1 << i
+    lean, full = len(b) - len(a), (1 << len(a)) - 1
+    low, high = -max(0, lean) - band, band - min(0, lean)
+    path = full
+    for j, x in enumerate(b):
+        if hit := at.get(x):
+            near = hit & ((1 << max(0, min(len(a), j + high + 1))) - 1) & ~((1 << max(0, j + low)) - 1)
+            gain = path & near
+            path = ((path + gain) | (path - gain)) & full
+    return same + len(a) - path.bit_count()
 
 
 def similar(a: list[int], b: list[int], threshold: float = THRESHOLD) -> bool:
@@ -133,12 +154,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes(recs: DataFrame) -> DataFrame:
-    """id, class_id (the smallest id with the same words) and, on the class's own row, the k-mers."""
+    """id, class_id (the smallest id with the same words) and, on the class's own row, its number and k-mers."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     w = recs.select("id", words.alias("w")).where("size(w) > 1").withColumn("same", F.md5(F.concat_ws(" ", "w")))
     first = w.groupBy("same").agg(F.min("id").alias("class_id"))
     kmers = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)))
-    return w.join(first, "same").select("id", "class_id", F.when(F.col("id") == F.col("class_id"), kmers).alias("kmers"))
+    own = F.col("id") == F.col("class_id")
+    return w.join(first, "same").select("id", "class_id", F.when(own, F.monotonically_increasing_id()).alias("no"), F.when(own, kmers).alias("kmers"))
 
 
 def common_kmers(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -149,22 +171,121 @@ def common_kmers(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["k"].to_numpy(np.int64), least / got["n"].to_numpy(float)
 
 
-def similar_classes(members: DataFrame) -> DataFrame:
-    """Verified pairs (a < b) of classes."""
-    reps = members.where("kmers is not null").select("class_id", "kmers")
+def _sketch_rows(batches: Iterator[pa.RecordBatch], common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(no, kmers) to (no, sketch); a sketch's number is part of its hash."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        no = batch.column("no").to_numpy(zero_copy_only=False)
+        lists = [np.asarray(k, np.int64) for k in batch.column("kmers").to_numpy(zero_copy_only=False)]
+        rows = [(no, order_sketches(lists, common))]
+        ends = np.cumsum([len(k) for k in lists])
+        flat = np.concatenate(lists)
+        held = [k[w < 1] for k, w in zip(lists, np.split(_weights(flat, common), ends[:-1]))]
+        some = [i for i, (k, c) in enumerate(zip(lists, held)) if len(c) >= TEMPLATE * len(k)]
+        if some:
+            rows.append((no[some], order_sketches([held[i] for i in some], common, range(SKETCHES, SKETCHES + SHARED))))
+        for n, h in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(n, h.shape[1])), pa.array(h.ravel())], names=["no", "sketch"])
+
+
+@lru_cache(maxsize=None)
+def _pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+MET = pa.schema([("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("sketch", pa.int64()), ("block", pa.int64()), ("members", pa.list_(pa.int64()))])
+
+
+def meetings(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Texts in order of sketches to rows with lists of candidates (a < b), distinct within a list.
+
+    At most ``most`` texts of a sketch are held at once. Where there are more, each block of them gives its own pairs
+    and itself as a row (sketch, block, members), to meet the sketch's other blocks.
+    """
+    rest_s, rest_n, last, block = np.empty(0, np.int64), np.empty(0, np.int64), None, 0
+
+    def flush(s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nonlocal last, block
+        alone = np.r_[True, s[1:] != s[:-1]] & np.r_[s[1:] != s[:-1], True] & (s != last if last is not None else True)
+        s, n = s[~alone], n[~alone]
+        if not len(s):
+            return
+        known, place = np.unique(n, return_inverse=True)
+        begins = np.r_[0, np.flatnonzero(np.diff(s)) + 1]
+        sizes = np.diff(np.r_[begins, len(s)])
+        pairs, blocks = [], []
+
+        def meet(groups: np.ndarray) -> None:
+            i, j = _pairs_of(groups.shape[1])
+            a, b = groups[:, i].ravel(), groups[:, j].ravel()
+            pairs.append(np.minimum(a, b) * len(known) + np.maximum(a, b))
+
+        by_size = np.argsort(sizes, kind="stable")
+        for of_size in np.split(by_size, np.flatnonzero(np.diff(sizes[by_size])) + 1):
+            if 1 < (size := int(sizes[of_size[0]])) <= most:
+                meet(place[begins[of_size][:, None] + np.arange(size)])
+        more = np.flatnonzero(sizes > most)
+        if s[0] == last and (not len(more) or more[0]):
+            more = np.r_[0, more]  # the end of a sketch of which blocks are out
+        for k in more:
+            if s[begins[k]] != last:
+                last, block = s[begins[k]], 0
+            for at in range(begins[k], begins[k] + sizes[k], most):
+                end = min(at + most, begins[k] + sizes[k])
+                if sizes[k] > most:
+                    meet(place[None, at:end])
+                blocks.append((int(last), block, n[at:end]))
+                block += 1
+        if pairs:
+            codes = np.sort(np.concatenate(pairs))
+            codes = codes[np.r_[True, codes[1:] != codes[:-1]]]
+            x, y = codes // len(known), codes % len(known)
+            ab = [pa.array([known[z[x < y]]], pa.list_(pa.int64())) for z in (x, y)]
+            yield pa.RecordBatch.from_arrays([*ab, *[pa.nulls(1, t) for t in MET.types[2:]]], schema=MET)
+        for key, no, part in blocks:
+            none = [pa.nulls(1, t) for t in MET.types[:2]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([key]), pa.array([no]), pa.array([part], pa.list_(pa.int64()))], schema=MET)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for batch in batches:
+        held.append((batch.column("sketch").to_numpy(zero_copy_only=False), batch.column("no").to_numpy(zero_copy_only=False)))
+        waiting += batch.num_rows
+        if waiting < 200_000:
+            continue
+        s, n = np.concatenate([rest_s, *[x for x, _ in held]]), np.concatenate([rest_n, *[x for _, x in held]])
+        # the last sketch may go on, but whole blocks of it needn't wait
+        cut = int(np.searchsorted(s, s[-1]))
+        cut += (len(s) - cut) // most * most
+        yield from flush(s[:cut], n[:cut]) if cut else ()
+        rest_s, rest_n, held, waiting = s[cut:], n[cut:], [], 0
+    s, n = np.concatenate([rest_s, *[x for x, _ in held]]), np.concatenate([rest_n, *[x for _, x in held]])
+    if len(s):
+        yield from flush(s, n)
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of numbers of texts that agree in a sketch."""
     common = common_kmers(reps)
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = spread(reps.select("no", "kmers")).mapInArrow(lambda batches: _sketch_rows(batches, common), "no long, sketch long")
+    met = s.repartition(n, "sketch").sortWithinPartitions("sketch").mapInArrow(meetings, "a array<long>, b array<long>, sketch long, block long, members array<long>")
+    met = checkpoint(met)
+    blocks = met.where("members is not null").select("sketch", "block", "members")
+    other = blocks.toDF("sketch", "block_b", "others")
+    across = blocks.join(other, "sketch").where("block < block_b").select(F.explode("members").alias("x"), "others").select("x", F.explode("others").alias("y"))
+    across = across.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    within = met.where("a is not null").select(F.inline(F.arrays_zip("a", "b")))
+    return within.unionByName(across).distinct()
+
 
-    def sketch(batches):
-        for pdf in batches:
-            if len(pdf):
-                h = order_sketches([np.asarray(k, np.int64) for k in pdf["kmers"]], common)
-                yield pd.DataFrame({"a": np.repeat(pdf["class_id"].to_numpy(), SKETCHES), "sketch": h.ravel()})
-
-    # the sketch's number is part of its hash: one column is the whole key
-    s = checkpoint(spread(reps).mapInPandas(sketch, "a string, sketch long"))
-    candidates = s.join(s.withColumnRenamed("a", "b"), "sketch").where("a < b").select("a", "b").distinct()
-    left, right = reps.toDF("a", "ka"), reps.toDF("b", "kb")
-    return candidates.join(left, "a").join(right, "b").where(similar_udf("ka", "kb")).select("a", "b")
+def similar_classes(members: DataFrame) -> DataFrame:
+    """Verified pairs of classes, by their ids."""
+    reps = members.where("kmers is not null").select("no", "class_id", "kmers")
+    left, right = reps.toDF("a", "class_a", "ka"), reps.toDF("b", "class_b", "kb")
+    met = candidates(reps).join(left, "a").join(right, "b").where(similar_udf("ka", "kb"))
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
 
 
 def near_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
