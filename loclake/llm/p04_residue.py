@@ -1,10 +1,13 @@
 """Problem 4: template residue and error-page text.
 
-Labelled exemplars of residue stand in an inverted index (token -> exemplars). A passage (sentence, line, or the whole
-text without tags) retrieves the exemplars that share tokens with it; TF-IDF containment, with document counts over
-the whole table, says how much of the exemplar the passage holds and how much of the passage the exemplar explains.
-Long exemplars are also sought in sliding windows, for filler within a sentence. A story about an error shares tokens
-but no coverage. Slots and masks are recognised by form and compared with those of the original.
+Labelled exemplars of residue (``residue_exemplars``) stand in an inverted index (token -> exemplars). A passage
+(sentence, line, or the whole text without tags) retrieves the exemplars that it may contain: an exemplar is posted
+under its rarest tokens, as many as outweigh what a match may lack, so none is missed. TF-IDF containment, with
+document counts over the whole table, says how much of the exemplar the passage holds and how much of the passage the
+exemplar explains. Tokens that no exemplar has weigh ``UNKNOWN`` and no token more than ``RAREST``, at every
+size of the table. Long exemplars are also
+sought in sliding windows, filler of any length where it ends a text outside quotes. A story about an error shares
+tokens but no coverage. Slots and masks are recognised by form and compared with those of the original.
 
 Null, empty and untouched translations are no cases; a null or blank mask value is one.
 """
@@ -22,36 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loclake.llm.common import table
+from loclake.llm.residue_exemplars import labelled
 
-# Labelled exemplars of residue.
-REASONS = (
-    "Too Many Requests", "Service Temporarily Unavailable", "Service Unavailable", "Forbidden", "Bad Gateway", "Not Found", "Gateway Time-out",
-    "Gateway Timeout", "Internal Server Error", "Bad Request", "Unauthorized", "Request Timeout", "Method Not Allowed", "Page Not Found",
-)
-ERROR_FORMS = ("404 {}", "HTTP Error 404 {}", "Error 404 {} 1", "error code 404 message {}", "404 {} 404 {}", "404 {} Request ID: 404", "404 {} nginx", "HTTP 404: {}")
-ERRORS = (
-    "Invalid response: unexpected token < in JSON at position 1", "The service is temporarily overloaded, retry in 5 seconds.", "Quota exceeded for this project: 800 of 800 characters used.",
-    "Connection timed out after 5 ms", "Access denied.", "Access denied. Our systems have detected unusual traffic from your network.",
-    "Our systems have detected unusual traffic from your network.", "Please complete the captcha to continue.", "Rate limit exceeded, please try again later.",
-    "Une erreur interne est survenue. Réf. 1", "Une erreur interne est survenue.", "Page non trouvée", "Une erreur est survenue, veuillez réessayer plus tard.",
-    "Die angeforderte Seite wurde nicht gefunden (Code 1).", "Interner Serverfehler", "Ein interner Fehler ist aufgetreten", "Ha ocurrido un error inesperado, código 1.", "Página no encontrada", "Error interno del servidor",
-    "Sayfa bulunamadı. İstek numarası 1", "Sayfa bulunamadı.", "Beklenmeyen bir hata oluştu", "Произошла внутренняя ошибка сервера, запрос 1.", "Страница не найдена", "サーバーエラーが発生しました（1）。", "ページが見つかりません",
-)
-SCRIPTS = (
-    "You need to enable JavaScript to run this app.", "Please enable JavaScript to continue.", "JavaScript is disabled in your browser. Turn it on and reload the page.", "JavaScript is disabled in your browser.", "Turn it on and reload the page.",
-    "This page requires scripts.", "This site requires JavaScript.", "Veuillez activer JavaScript pour continuer.", "Bitte aktivieren Sie JavaScript, um diese Seite zu nutzen.", "Active JavaScript en su navegador para ver esta página.",
-    "Habilite JavaScript en su navegador para ver esta página.", "Bu sayfayı görüntülemek için JavaScript etkinleştirilmelidir.", "Для работы страницы включите JavaScript в браузере.", "このページを表示するにはJavaScriptを有効にしてください。",
-)
-FILLER = (
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Lorem ipsum dolor sit amet", "Lorem ipsum", "dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor", "sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
-    "Your text here", "Insert text here", "Placeholder text", "Placeholder", "Sample text sample text", "Sample text", "Text goes here", "Dummy text", "test test test", "asdf asdf asdf", "asdf", "xxxx xxx xxxxx", "foo bar baz", "qwerty",
-    "TBD", "TODO", "FIXME", "TODO: translate this line", "FIXME translation", "Missing translation", "Translation missing", "No translation", "Not translated", "Untranslated", "Insert name", "Translate me", "Texte à insérer ici", "Votre texte ici",
-    "Hier Text einfügen", "Ihr Text hier", "Metni buraya yazın", "Inserte el texto aquí", "Su texto aquí", "Escriba el texto aquí", "Введите текст", "Введите текст здесь", "Вставьте текст сюда", "ここにテキストを入力", "ここにテキストを入力してください",
-)
-NOTHING = frozenset({"", "none", "null", "undefined", "nan", "nil", "n/a", "na", "-", "--", "—", "?", "??", "???", "[]", "{}", "()", "<>", '""', "''", "...", "…", "missing", "<missing>", "empty", "<empty>", "unknown", "<unknown>"})
+# Words that stand for nothing.
+NOTHING = frozenset({"", "none", "null", "undefined", "nan", "nil", "n/a", "na", "-", "--", "—", "?", "??", "???", "[]", "{}", "()", "<>", '""', "''", "...", "…", "missing", "<missing>", "empty", "<empty>", "unknown", "<unknown>", "nil", "void", "n.a.", "n. a.", "none.", "not set", "not available", "[object object]", "xxx", "tba"})
 # Text tags of the game engine.
 TAGS = frozenset("a b i s u k p w nw w fast cps color size font image alpha alt art clear done outlinecolor plain rb rt noalt space vspace axis shader instance feature rpage lpage slow sc shake bt".split())
-WINDOW, CONTAINED, COVERED = 5, 0.7, 0.6
+WINDOW, CONTAINED, COVERED, UNKNOWN, RAREST = 5, 0.7, 0.6, 4.0, 7.0
 
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿ー]+|[^\W_]+")
 JAPANESE = re.compile("[぀-ヿ㐀-鿿ー]")
@@ -59,8 +39,10 @@ TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>")
 MARKUP = re.compile(r"\{[#/]?[A-Za-z][\w#=.]*\}|\[[\w.! ]+\]|%\(\w+\)s|\{\{")
 PASSAGE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
 SLOT = re.compile(
-    r"\$\{[^{}]*\}|\{\{[^{}]*\}\}|<%.*?%>|\{%.*?%\}|%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]*__|<[A-Z][A-Z_ ]{3,}>|<(?:no translation|missing|untranslated|placeholder|empty)>"
+    r"\$\{[^{}]*\}|\{\{[^{}]*\}\}|<%.*?%>|\{%.*?%\}|%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]*__|<[A-Z][A-Z_ ]{3,}>|(?i:<(?:no translation|missing|untranslated|placeholder|empty)>)"
     r"|\[\[?\s*[A-Z][A-Z _-]{2,}\s*(?:!\w+)?\]\]?|\{[A-Z][A-Z _-]{2,}\}|⟦[^⟧]*⟧|XRPYX\s*[A-Z0-9]+\s*XRPYX|\?\s?V\d+\s?\?|【[A-Z]+\d+】|\$[A-Z][A-Z_]+\$|@@\w+@@|#\{\w+\}|\{\d+\}|%\([A-Z_]{3,}\)s|(?<!\{)\{[a-z_]{3,}\}"
+    r"|<<\s*\w[\w ]*>>|&lt;\w[\w ]*&gt;|\$\(\w+\)|\{\$\w+\}|\{#\w+#\}|<#\w+#>|%%\w+%%|##\w+##|\$\$\w+\$\$|@[A-Z][A-Z_]{2,}@|#[A-Z][A-Z_]{2,}#|\|[A-Z][A-Z_]{2,}\||\[object \w+\]|\[%\s*\w+\s*%\]|\[\[\s*\w[\w ]*\]\]"
+    r"|[\[<{](?:insert|your|enter|add|missing|translate|translation|untranslated|no|name|text|placeholder)(?: \w+){1,3}[\]>}]|<(?:name|player|value|text|title|item|string|variable|todo)>|\[(?:todo|tbd|missing|untranslated|placeholder|translate)\]"
 )
 
 
@@ -70,8 +52,7 @@ def slots(text: str) -> list[str]:
     for m in SLOT.findall(text):
         if re.fullmatch(r"\{[a-z_]+\}", m) and m[1:-1] in TAGS:
             continue
-        if m.lower().startswith("<no translation") or m[:1] != "<" or m.strip("<>").upper() == m.strip("<>") or m[:2] == "<%" or m in ("<missing>", "<untranslated>", "<placeholder>", "<empty>"):
-            out.append(m)
+        out.append(m)
     return out
 
 
@@ -94,8 +75,12 @@ def tokens(text: str) -> list[str]:
 
 
 def exemplars() -> list[list[str]]:
-    built = [f.replace("{}", r) for r in REASONS for f in ERROR_FORMS]
-    return [tokens(x) for x in (*built, *ERRORS, *SCRIPTS, *FILLER)]
+    return [tokens(x) for _, x in labelled()]
+
+
+#: Filler of one word is only told from a word of some language by its capitals.
+CAPITALS = re.compile(r"\b[A-Z]{3,}\W*$")
+QUOTES = re.compile("[\"'»”“’」』‹›]\\s*\\W*$")
 
 
 class Residue:
@@ -103,31 +88,29 @@ class Residue:
 
     def __init__(self, df: dict[str, int], n: int):
         self.examples = exemplars()
-        self.idf = defaultdict(lambda: math.log(n / 200 + 2))  # a token that no exemplar has
-        self.postings: dict[str, list[int]] = defaultdict(list)
-        for i, e in enumerate(self.examples):
-            for t in set(e):
-                self.postings[t].append(i)
-        for t in self.postings:
-            self.idf[t] = 0.3 if t == "#" else math.log((n + 2) / (df.get(t, 0) + 1))
-        self.weight = [sum(self.idf[t] for t in set(e)) for e in self.examples]
-        self.size = [len(set(e)) for e in self.examples]
         self.sets = [frozenset(e) for e in self.examples]
-        # an exemplar is retrieved by its rarest token, so that common words retrieve nothing
-        self.by_rarest: dict[str, list[int]] = defaultdict(list)
+        self.idf = {t: 0.3 if t == "#" else min(RAREST, math.log((n + 2) / (df.get(t, 0) + 1))) for e in self.sets for t in e}
+        self.weight = [sum(self.idf[t] for t in e) for e in self.sets]
+        # any passage with the share CONTAINED of an exemplar holds one of the rarest tokens that outweigh the rest
+        self.postings: dict[str, list[int]] = defaultdict(list)
         for i, e in enumerate(self.sets):
-            for t in sorted(e, key=lambda t: -self.idf[t])[:3]:
-                if t != "#" or len(e) == 1:
-                    self.by_rarest[t].append(i)
+            missing = 0.0
+            for t in sorted(e, key=lambda t: (-self.idf[t], t)):
+                self.postings[t].append(i)
+                missing += self.idf[t]
+                if missing > (1 - CONTAINED) * self.weight[i]:
+                    break
+        self.endings: dict[str, list[tuple[str, ...]]] = defaultdict(list)
+        for (label, _), e in zip(labelled(), self.examples):
+            if label == "filler" and e:
+                self.endings[e[-1]].append(tuple(e))
 
     def covered(self, words: list[str]) -> bool:
-        if not words:
-            return False
         held = set(words)
-        got = {i for t in held if t in self.by_rarest for i in self.by_rarest[t]}
+        got = {i for t in held if t in self.postings for i in self.postings[t]}
         if not got:
             return False
-        total = sum(self.idf.get(t, self.idf["\0"]) for t in held)
+        total = sum(self.idf.get(t, UNKNOWN) for t in held)
         for i in got:
             both = self.sets[i] & held
             w = sum(self.idf[t] for t in both)
@@ -136,17 +119,27 @@ class Residue:
             if w >= COVERED * total and (len(both) >= 2 or len(held) == 1):
                 return True
             n = len(self.examples[i])
-            if self.size[i] >= WINDOW and len(words) > n:
+            if len(self.sets[i]) >= WINDOW and len(words) > n:
                 for at in range(len(words) - n + 1):
                     inside = self.sets[i] & set(words[at : at + n])
                     if sum(self.idf[t] for t in inside) >= 0.85 * self.weight[i]:
                         return True
         return False
 
+    def ends_in_filler(self, text: str, words: list[str]) -> bool:
+        """Whether filler stands at the end of a text, outside quotes."""
+        if not words or words[-1] not in self.endings or QUOTES.search(text):
+            return False
+        for e in self.endings[words[-1]]:
+            if len(words) > len(e) and tuple(words[-len(e) :]) == e and (len(e) > 1 or CAPITALS.search(text)):
+                return True
+        return False
+
     def passages(self, text: str) -> bool:
         plain = TAG.sub(" ", MARKUP.sub(" ", text))
         parts = [p for p in PASSAGE.split(plain) if p]
-        return any(self.covered(tokens(p)) for p in parts) or len(parts) > 1 and self.covered(tokens(plain))
+        words = tokens(plain)
+        return any(self.covered(tokens(p)) for p in parts) or len(parts) > 1 and self.covered(words) or self.ends_in_filler(plain, words)
 
     def translation(self, original: str | None, text: str | None) -> bool:
         if text is None or not text.strip() or text == original:
@@ -191,7 +184,7 @@ def residue_translations(results: DataFrame) -> DataFrame:
 
 def residue_masks(entries: DataFrame) -> DataFrame:
     """Rows of ``entries`` with a mask value that is residue."""
-    index = Residue({}, 1000)
+    index = weigh(entries, "text")
 
     @F.pandas_udf(T.BooleanType())
     def found(text: pd.Series, values: pd.Series) -> pd.Series:

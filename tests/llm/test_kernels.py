@@ -86,6 +86,25 @@ def test_residue():
     assert r.mask_value("Hi [name]", None) and r.mask_value("Hi", "TODO") and r.mask_value("Hi", "[YOUR TEXT HERE]") and not r.mask_value("Hi [name]", "[ name ]") and not r.mask_value("x", "{/i}")
 
 
+def test_residue_needs_its_index_and_weights():
+    o, bad = "Nobody remembers who painted the mirror.", ["Niemand erinnert sich, w Your text here", "Kasabada hiç kim TBD", "502 Bad Gateway", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."]
+    good = ["Todo el pueblo lo oirá, y no es todo", "Er sagte nur: „lorem ipsum“", "Das ist ein Test"]
+    for n in (1000, 10**5, 10**8):
+        r = p4.Residue({"the": n // 2, "test": n // 100, "todo": n // 50}, n)
+        assert all(r.translation(o, t) for t in bad) and not any(r.translation(o, t) for t in good)
+    r.postings.clear(), r.endings.clear()
+    assert not any(r.translation(o, t) for t in bad)
+
+
+def test_residue_postings_miss_no_exemplar():
+    r = p4.Residue({"not": 900, "found": 50, "request": 300}, 1000)
+    for i, e in enumerate(r.sets):
+        for drop in e:
+            rest = e - {drop}
+            if sum(r.idf[t] for t in rest) >= p4.CONTAINED * r.weight[i]:
+                assert any(i in r.postings.get(t, ()) for t in rest)
+
+
 def test_code_literals():
     code = 'def f():\n    # Nobody remembers who painted it.\n    x = "a#b"  # TODO\n    """One two\n    three four."""\n    y = \'it\\\'s\'\n'
     got, rest = p5.literals(code)
