@@ -56,6 +56,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if have >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(want, *keys)
 
 
+#: Rows of a few numbers that may be broadcast by hint.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the rows, counted, are at most ``FEW``; else the planner's join."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def salted(column: str, salts: int = 32):
     """A salt for hot keys from a well-mixed hash of a unique column."""
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

@@ -1,14 +1,15 @@
 """Problem 2: text that was decoded with a wrong character set.
 
-1. *Near-twins.* Words of garbled texts are joined with clean words on what is left of them without non-ASCII
-   characters; whole texts likewise with the translations of the same original.
+1. *Near-twins.* Words of garbled texts are joined with clean words of the language on what is left of them without
+   non-ASCII characters; whole texts with the other translations of the same original.
 2. *Alignment.* The ASCII characters of a pair are its anchors; the runs between them are aligned, and each pair of
-   runs is explained by the chain (true character set, wrong one) that turns one into the other. Chains that
-   explain several different pairs are the learned transformations.
+   runs is explained by the chain (true character set, wrong one) that turns one into the other, over all single-byte
+   sets that Python knows besides the usual ones below. Chains that explain several different pairs are learned.
 3. *Application.* Every record is read back through the chains. A learned chain needs one restored run as evidence,
-   any other chain of the table two. Single-byte Cyrillic sets, whose garbled text consists of proper letters, are
-   told apart by letter-pair counts over the Russian texts of the whole table; the Turkish and the Western set, which
-   differ in six letters, by the vocabulary of the whole table.
+   any other usual chain two (Japanese through two-byte sets three): the usual chains are a prior, so a table without
+   twins isn't left unread; other chains are read only where they were learned. Single-byte Cyrillic sets, whose
+   garbled text consists of proper letters, are told apart by letter-pair counts over the Russian texts of the whole
+   table; the Turkish and the Western set, which differ in six letters, by the vocabulary of the whole table.
 
 U+FFFD can't be restored but is evidence. Nulls and ASCII texts are no cases.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from encodings.aliases import aliases
 from functools import lru_cache
 
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loclake.llm.common import table
+from loclake.llm.common import checkpoint, few, table
 
 # Fixed values: (true set, wrong set) that text tools confuse; sets are names of Python's codecs.
 UTF8_AS = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "cp1254", "cp1250", "koi8_r", "cp866")
@@ -49,6 +51,20 @@ ACCENTED_WORD = re.compile("(?<![A-Za-z])[¨¸À-ÿŒœŠšŸŽž]{3,}(?![A-Za-z
 HIGH = re.compile("[─-◿Ѐ-ӿ -ÿ∙√№]{3,}")
 
 
+@lru_cache(maxsize=1)
+def single_byte_sets() -> tuple[str, ...]:
+    """Sets of one byte a character that keep ASCII, by trial over Python's codecs."""
+    out = []
+    for name in sorted(set(aliases.values())):
+        try:
+            low, high = bytes(range(32, 127)).decode(name), bytes(range(160, 256)).decode(name, "replace")
+        except (LookupError, UnicodeError, AssertionError):
+            continue
+        if low.isascii() and len(low) == 95 and low[0] == " " and len(high) == 96 and high.count("\ufffd") < 20 and low == bytes(range(32, 127)).decode("ascii"):
+            out.append(name)
+    return tuple(out)
+
+
 @lru_cache(maxsize=None)
 def byte_of(charset: str) -> dict[str, int]:
     """Characters to bytes of a single-byte set; bytes it leaves open stand for themselves, as browsers have it."""
@@ -215,13 +231,19 @@ def back_to_cyrillic(text: str, pairs: Pairs) -> tuple[str, int, tuple[str, str]
 SIGNS = re.compile("[^\x00-\x7f" + "áéíóúñüçâêîôûàèìòùëïöäßğışİĞŞÇÖÜÄÉÁÍÓÚÑ¿¡«»“”„‘’…–—½°£§　-ヿ一-鿿！-？" + "А-яёЁ]|[縺繧繝銈銉銇]|[âÃÂÄÅÐÑРС][^\x00-\x7fА-Яа-яёЁ]|[ÃÂâ].|¥|¤")
 
 
+@lru_cache(maxsize=8)
+def others(learned: frozenset) -> tuple[str, ...]:
+    """Sets beside the usual ones as which UTF-8 was read by what was learned."""
+    return tuple(sorted(w for t, w in (c.split(">") for c in learned) if t == "utf_8" and w not in UTF8_AS and w not in UTF8_AS_WIDE))
+
+
 def repair(text: str | None, learned: frozenset, pairs: Pairs) -> tuple[str, str] | None:
     """(restored text, chain) of a garbled text, else None."""
     if text is None or text.isascii():
         return None
     best: tuple[int, str, str] | None = None
     if SIGNS.search(text):
-        for wrong in UTF8_AS:
+        for wrong in (*UTF8_AS, *others(learned)):
             new, n = back_from_utf8(text, wrong)
             need = 1 if f"utf_8>{wrong}" in learned and wrong not in ("cp1251", "koi8_r", "cp866") else 2
             if wrong in ("cp1251", "koi8_r", "cp866") and n and not CYRILLIC_WORD.search(new) and n < 3:
@@ -261,6 +283,10 @@ def explain(garbled: str, clean: str) -> str | None:
     for true, wrong in (*JAPANESE_AS, *CYRILLIC_AS, ("cp1254", "cp1252")):
         if all(_as(y, true, wrong) == x for x, y in zip(a, b)):
             return f"{true}>{wrong}"
+    if sum(map(len, a)) > sum(map(len, b)):
+        for wrong in single_byte_sets():
+            if wrong not in UTF8_AS and all(_as(y, "utf_8", wrong) == x for x, y in zip(a, b)):
+                return f"utf_8>{wrong}"
     return None
 
 
@@ -283,11 +309,11 @@ def explain_udf(garbled: pd.Series, clean: pd.Series) -> pd.Series:
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per text: (tl_id, lang, field, text); the two fields of a row come from one scan."""
+    """One row per text: (tl_id, lang, field, text, original); the two fields of a row come from one scan."""
     t = table(spark, sf_dir, "tl_entries", "tl_id", "lang", "original_text", "translated_text")
     both = F.array(
-        F.struct(F.lit("original_text").alias("field"), F.lit("english").alias("lang"), F.col("original_text").alias("text")),
-        F.struct(F.lit("translated_text").alias("field"), F.col("lang"), F.col("translated_text").alias("text")),
+        F.struct(F.lit("original_text").alias("field"), F.lit("english").alias("lang"), F.col("original_text").alias("text"), F.lit(None).cast("string").alias("original")),
+        F.struct(F.lit("translated_text").alias("field"), F.col("lang"), F.col("translated_text").alias("text"), F.col("original_text").alias("original")),
     )
     return t.select("tl_id", F.inline(both))
 
@@ -295,7 +321,8 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def twins(texts: DataFrame) -> DataFrame:
     """Pairs (garbled, clean) of different words with one key; words are counted before they are joined."""
     word = F.explode(F.split("text", r"[\s\p{Punct}&&[^'’]]+")).alias("word")
-    words = texts.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("lang", word).where(F.col("word").rlike(r"[^\x00-\x7F]"))
+    # words of other scripts have too few ASCII letters for a key
+    words = texts.where(F.col("text").rlike(r"[^\x00-\x7F]") & F.col("text").rlike("[A-Za-z]{3}")).select("lang", word).where(F.col("word").rlike(r"[^\x00-\x7F]") & F.col("word").rlike("[A-Za-z].*[A-Za-z].*[A-Za-z]"))
     words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("key", F.regexp_replace("word", r"[^\x00-\x7F]+", ""))
     words = words.where(F.length("key") >= 3).withColumn("marks", F.length("word") - F.length("key"))
     clean = words.where("marks <= 6 and n >= 2").select("lang", "key", F.col("word").alias("clean"), F.col("marks").alias("few"))
@@ -303,9 +330,26 @@ def twins(texts: DataFrame) -> DataFrame:
     return words.join(clean, ["lang", "key"]).where("word <> clean and marks >= few").select("key", F.col("word").alias("garbled"), "clean")
 
 
+def text_twins(texts: DataFrame) -> DataFrame:
+    """Pairs (garbled, clean) of different translations of one original with the same ASCII characters in order.
+
+    Only hashes are shuffled to find originals with several spellings of one translation; the texts of those are
+    fetched. The most frequent spelling (of equals the one with the fewest characters) is the clean one: a wrong reading
+    never has fewer.
+    """
+    t = texts.where(F.col("field") == "translated_text").where(F.col("text").rlike(r"[^\x00-\x7F]")).where("original is not null")
+    stripped = F.regexp_replace("text", r"[^\x00-\x7F]+", "\x01")
+    t = t.select(F.xxhash64("lang", "original", stripped).alias("k"), "text")
+    several = t.groupBy("k").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("a <> b").select("k")
+    n = t.join(few(checkpoint(several)), "k").groupBy("k", "text").agg(F.count("*").alias("n"))
+    best = n.groupBy("k").agg(F.max_by("text", F.struct("n", -F.length("text"), "text")).alias("clean"))
+    return n.join(best, "k").where("text <> clean").select(F.col("k").cast("string").alias("key"), F.col("text").alias("garbled"), "clean")
+
+
 def learn(texts: DataFrame, support: int = 3) -> frozenset:
     """Chains that explain at least ``support`` different keys; the result has at most one row per chain."""
-    found = twins(texts).withColumn("chain", explain_udf("garbled", "clean")).where("chain is not null")
+    both = twins(texts).unionByName(text_twins(texts))
+    found = both.withColumn("chain", explain_udf("garbled", "clean")).where("chain is not null")
     rows = found.groupBy("chain").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= support).collect()
     return frozenset(r["chain"] for r in rows)
 
