@@ -11,6 +11,7 @@ import re
 import textwrap
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,11 @@ from loclake.functions import predicates as P
 from loclake.functions import text as X
 from loclake.operators.relational import keep_first
 
-OPENING = re.compile(r"([rRuUbBfF]{0,2})(\"\"\"|'''|\"|')")
-BLOCK = re.compile(r"(label|screen)\s+([\w.]+)|(menu)\b[^=(]*:?\s*$|(?:init\s+(?:-?\d+\s+)?)?(python)\b|(nvl)\b", re.I)
+#: A comment, a triple literal to its end or the file's, or a literal of one line; one that its line doesn't end has no body.
+LITERAL = re.compile(
+    r"#[^\n]*|(?P<prefix>[rRuUbBfF]{0,2})(?:(?P<triple>\"\"\"|''')(?P<long>.*?)(?:(?P=triple)|\Z)|(?P<quote>[\"'])(?:(?P<body>(?:\\[^\n]|(?!(?P=quote))[^\\\n])*)(?P=quote)|[^\n]*))", re.S
+)
+BLOCK = re.compile(r"[ \t]*(?:(label|screen)\s+([\w.]+)|(menu)\b[^=(]*:?\s*$|(?:init\s+(?:-?\d+\s+)?)?(python)\b|(nvl)\b)", re.I)
 ESCAPES = {"n": "\n", "t": "\t", '"': '"', "'": "'", "\\": "\\", "r": "\n"}
 TOKEN_SCHEMA = "token_type string, text string, raw_text string, prefix string, line_number int, context_path array<string>, context_line string, text_type string"
 
@@ -31,57 +35,54 @@ def _resolve(body: str, prefix: str) -> str:
     return re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], "\\" + m[1]), body, flags=re.S)
 
 
+def literals(content: str) -> list[re.Match]:
+    """Literals of a text whose lines end in line feeds."""
+    return [m for m in LITERAL.finditer(content) if m["long"] is not None or m["body"] is not None]
+
+
+def block_paths(lines: list[str], inside: np.ndarray) -> tuple[np.ndarray, list[tuple[str, ...]]]:
+    """For each line the number of the innermost block that covers it (-1: none), and the labels down to each block.
+
+    A block reaches from its head to the last line before one that isn't indented further than the head. Blank lines,
+    comments and lines ``inside`` a literal end nothing.
+    """
+    width = np.array([len(x) - len(x.lstrip()) for x in lines] or [0])[: len(lines)]
+    counts = [i for i, x in enumerate(lines) if not inside[i] and x.strip() and not x.lstrip().startswith("#")]
+    ends = dict.fromkeys(counts, len(lines) - 1)
+    shallower: list[int] = []  # of the lines below, those that may end a block above, the nearest last
+    for i in reversed(counts):
+        while shallower and width[shallower[-1]] > width[i]:
+            shallower.pop()
+        if shallower:
+            ends[i] = shallower[-1] - 1
+        shallower.append(i)
+    of, paths = np.full(len(lines), -1), []
+    for i in counts:
+        if m := BLOCK.match(lines[i]):
+            label = f"{m[1].lower()}:{m[2]}" if m[1] else (m[3] or m[4] or m[5]).lower()
+            above = paths[of[i]] if of[i] >= 0 else ()
+            of[i : ends[i] + 1] = len(paths)
+            paths.append((*above, label))
+    return of, paths
+
+
 def scan(content: str) -> Iterator[tuple]:
-    """String tokens of a script with the blocks they stand in; a block ends where indentation falls back to it."""
+    """String tokens of a script with the blocks that cover them."""
     lines = content.splitlines()
-    stack: list[tuple[int, str]] = []
-    no, at = 0, 0
-    while no < len(lines):
-        line = lines[no]
-        bare = line.lstrip()
-        if at == 0:
-            depth = len(line) - len(bare)
-            while stack and depth <= stack[-1][0]:
-                stack.pop()
-            if not bare or bare.startswith("#"):
-                no += 1
-                continue
-            if m := BLOCK.match(bare):
-                name = m[2]
-                stack.append((depth, f"{m[1].lower()}:{name.strip(':')}" if name else (m[3] or m[4] or m[5]).lower()))
-            at = depth
-        stop = line.find("#", at)
-        m = OPENING.search(line, at)
-        if not m or 0 <= stop < m.start():
-            no, at = no + 1, 0
-            continue
-        path = [p for _, p in stack]
+    text = "\n".join(lines)
+    starts = np.r_[0, np.cumsum([len(x) + 1 for x in lines])][: len(lines)].astype(int)
+    found = literals(text)
+    first = np.searchsorted(starts, [m.start() for m in found], "right") - 1
+    last = np.searchsorted(starts, [m.end() - 1 for m in found], "right") - 1
+    inside = np.zeros(len(lines), bool)
+    for a, b in zip(first, last):
+        inside[a + 1 : b + 1] = True
+    of, paths = block_paths(lines, inside)
+    for m, at in zip(found, first):
+        path = list(paths[of[at]]) if of[at] >= 0 else []
         kind = "dialogue" if not path or any(p.startswith("label") for p in path) else "ui"
-        quote, begin, first = m[2], m.end(), no
-        if len(quote) == 3:
-            body, end = [], line.find(quote, begin)
-            while end < 0 and no + 1 < len(lines):
-                body.append(lines[no][begin:])
-                no, begin = no + 1, 0
-                end = lines[no].find(quote)
-            tail = lines[no][begin : end if end >= 0 else None]
-            text = "\n".join([*body, tail])
-            raw = m[0] + text + (quote if end >= 0 else "")
-            yield "TRIPLE_STRING", _resolve(text, m[1]), raw, m[1], first + 1, path, bare, kind
-            if end < 0:
-                return
-            at = end + 3
-        else:
-            end = begin
-            while end < len(line) and line[end] != quote:
-                end += 2 if line[end] == "\\" else 1
-            if end >= len(line):
-                no, at = no + 1, 0
-                continue
-            yield "STRING", _resolve(line[begin:end], m[1]), line[m.start() : end + 1], m[1], no + 1, path, bare, kind
-            at = end + 1
-        if at >= len(lines[no]):
-            no, at = no + 1, 0
+        body = m["long"] if m["triple"] else m["body"]
+        yield "TRIPLE_STRING" if m["triple"] else "STRING", _resolve(body, m["prefix"]), m[0], m["prefix"], int(at) + 1, path, lines[at].lstrip(), kind
 
 
 def _table(df: DataFrame, key: str, content: str, reader, schema: str) -> DataFrame:

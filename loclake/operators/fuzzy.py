@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from loclake.functions.text import normalized
 from loclake.operators.relational import keep_first, pair_up
+from loclake.session import checkpoint
 
 
 def ratio(a: str | None, b: str | None) -> float | None:
@@ -197,7 +198,7 @@ def scored_pairs(new: DataFrame, old: DataFrame, threshold: float, keys: tuple[s
 
     Every new text meets every old one whose length allows it, tile by tile, so the work grows with the product of both sides.
     """
-    n, o = new.where("k is not null").select(*keys, "k").distinct().persist(), old.where("ok is not null").select(*keys, "ok").distinct().persist()
+    n, o = checkpoint(new.where("k is not null").select(*keys, "k").distinct()), checkpoint(old.where("ok is not null").select(*keys, "ok").distinct())
     tn, to = max(TILES, -(-n.count() // TILE)), max(TILES, -(-o.count() // TILE))
     tile = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     n = n.withColumn("i", tile("k", tn)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(to - 1))))
@@ -224,16 +225,14 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     A pair is taken as soon as no better one touches either end; rounds go on until no pair is left, the last of them
     on the driver, where few pairs remain. Ties go to the smaller new id, then to the smaller old id.
     """
-    spark, left, taken = pairs.sparkSession, pairs.withColumn("_d", -F.col("similarity")).persist(), []
+    spark, left, taken = pairs.sparkSession, checkpoint(pairs.withColumn("_d", -F.col("similarity"))), []
     while left.count() > FEW:
         order = F.struct("_d", "new_id", "old_id")
         a = left.groupBy("new_id").agg(F.min(order).alias("b")).select("b.*")
         b = left.groupBy("old_id").agg(F.min(order).alias("b")).select("b.new_id", "b.old_id")
-        now = a.join(b, ["new_id", "old_id"]).localCheckpoint()
+        now = checkpoint(a.join(b, ["new_id", "old_id"]))
         taken.append(now.select("new_id", "old_id", (-F.col("_d")).alias("similarity")))
-        rest = left.join(now.select("new_id"), "new_id", "left_anti").join(now.select("old_id"), "old_id", "left_anti").localCheckpoint()
-        left.unpersist()
-        left = rest
+        left = checkpoint(left.join(now.select("new_id"), "new_id", "left_anti").join(now.select("old_id"), "old_id", "left_anti"))
     done_new, done_old, out = set(), set(), []
     for r in sorted(left.select("_d", "new_id", "old_id").collect()):
         if r["new_id"] not in done_new and r["old_id"] not in done_old:
@@ -254,7 +253,7 @@ def match(new: DataFrame, old: DataFrame, threshold: float = 0.7, auto: float =
     to one, the most similar first, until no pair of free texts is left. Ties go to the smaller ids.
     """
     keyed = lambda df, c, k: df.withColumn(k, normalized(F.col(c)))
-    n, o = keyed(new, "new_original", "k").persist(), keyed(old, "old_original", "ok").persist()
+    n, o = keyed(new, "new_original", "k"), keyed(old, "old_original", "ok")
     exact = pair_up(n, o.withColumnRenamed("ok", "k"), "k", "new_id", "old_id").withColumn("similarity", F.lit(1.0))
     n, o = n.join(exact.select("new_id"), "new_id", "left_anti"), o.join(exact.select("old_id"), "old_id", "left_anti")
     scored = scored_pairs(n, o, threshold)
@@ -274,7 +273,28 @@ def report(matches: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
     return one(a).join(one(b), "_k").join(one(c), "_k").drop("_k")
 
 
-def memory_lookup(texts: DataFrame, memory: DataFrame) -> DataFrame:
-    """Translations known for equal texts of a language: the memory's smallest id wins."""
-    first = keep_first(memory.where("translation is not null"), ["lang", "original"], ["entry_id"], ["entry_id", "translation"])
-    return texts.join(first, ["lang", "original"], "left")
+def memory_lookup(texts: DataFrame, memory: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Translation, confidence and source of each text: an equal text of the memory (its smallest id), else the most
+    similar one of the language at ``threshold`` or more (ties by text), else none.
+
+    texts (lang, original, ...), memory (lang, entry_id, original, translation); rows without text or language have none.
+    """
+    first = keep_first(memory.where("translation is not null and original is not null"), ["lang", "original"], ["entry_id"], ["entry_id", "translation"])
+    out = texts.join(first, ["lang", "original"], "left")
+    open_ = out.where("entry_id is null and original is not null").select("lang", normalized(F.col("original")).alias("k"))
+    known = first.withColumn("ok", normalized(F.col("original")))
+    scored = scored_pairs(open_, known, threshold, ("lang",))
+    best = scored.groupBy("lang", "k").agg(F.min_by(F.struct("ok", "similarity"), F.struct(-F.col("similarity"), "ok")).alias("b")).select("lang", "k", "b.*")
+    near = best.join(keep_first(known.select("lang", "ok", "entry_id", "translation"), ["lang", "ok"], ["entry_id"], ["entry_id", "translation"]), ["lang", "ok"])
+    near = near.select("lang", "k", F.col("translation").alias("_t"), F.col("similarity").alias("_s"))
+    out = out.withColumn("k", normalized(F.col("original"))).join(near, ["lang", "k"], "left")
+    equal = F.col("entry_id").isNotNull()
+    return out.withColumns({
+        "confidence": F.when(equal, 1.0).otherwise(F.col("_s")), "source": F.when(equal, "exact").when(F.col("_s").isNotNull(), "fuzzy"),
+        "translation": F.coalesce("translation", F.when(~equal | F.col("entry_id").isNull(), F.col("_t"))),
+    }).drop("k", "_t", "_s")
+
+
+def ranked(matches: DataFrame) -> DataFrame:
+    """Matches with their place, the most similar first; equal ones by the new id."""
+    return matches.orderBy(F.desc("similarity"), "new_id")

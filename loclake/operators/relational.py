@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loclake.session import checkpoint
+
 #: Rows a small dimension (glossary, rules, languages) may have to be broadcast by hint.
 SMALL = 10_000
 
@@ -126,7 +128,7 @@ def pack_slices(df: DataFrame, keys: list[str], order: str, length: str, max_cha
     folded for every place at which its own first slice may begin; the blocks of a key are then chained, and slices
     are numbered within the key.
     """
-    n = df.select(*keys, order, F.coalesce(F.col(length).cast("int"), F.lit(0)).alias("n"), (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).alias("_rn"))
+    n = numbered(df.select(*keys, order, F.coalesce(F.col(length).cast("int"), F.lit(0)).alias("n")), keys, [order], "_rn")
     no = F.floor(F.col("_rn") / block).cast("int")
     ahead = (F.col("_rn") % block < max_texts - 1) & (no > 0)
     n = n.withColumn("block", F.explode(F.when(ahead, F.sequence(F.greatest(F.floor((F.col("_rn") - max_texts + 1) / block).cast("int"), F.lit(0)), no)).otherwise(F.array(no))))
@@ -149,12 +151,37 @@ def pack_slices(df: DataFrame, keys: list[str], order: str, length: str, max_cha
     return done.select(*keys, "block", zipped).select(*keys, "block", F.col(f"z.rows.{order}").alias(order), F.col("z.rows.n").alias("n_chars"), F.col("z.no").alias("slice_no"))
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows in ranges of (keys, order) with the range's number ``_part``; the rows of a hot key stand in many ranges.
+
+    The ranges are written to the shared folder, as range bounds are sampled and must not change between uses.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return checkpoint(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers from 0 within a key by order. Each range is numbered for itself, then its begin is added: one row per key
+    and range decides it, so no task sorts a whole key. ``order`` must be unique within a key."""
+    parts = in_ranges(df, keys, order)
+    w = Window.partitionBy(*keys, "_part")
+    before = w.orderBy(*order)
+    counts = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    begins = counts.withColumn("_begin", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    right = begins.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_begin")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = parts.withColumn("_own", F.row_number().over(before) - 1)
+    return own.join(right, same).withColumn(name, F.col("_own") + F.col("_begin")).drop(*right.columns, "_own", "_part")
+
+
 def batches(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
-    return df.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / size).cast("int"))
+    return numbered(df, keys, [order], "_rn").withColumn("batch_no", F.floor(F.col("_rn") / size).cast("int")).drop("_rn")
 
 
 def round_robin(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    return df.withColumn("slot", F.pmod(F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, F.lit(n)).cast("int"))
+    return numbered(df, [key], [order], "_rn").withColumn("slot", F.pmod("_rn", F.lit(n)).cast("int")).drop("_rn")
 
 
 def look_back(df: DataFrame, key: str, order: str, flag: Column, rows: int, name: str) -> DataFrame:

@@ -90,18 +90,33 @@ def fuzzy_match(spark, d):
 
 @query()
 def fuzzy_report(spark, d):
-    """A10, J09, O02."""
+    """A10, J09."""
     new, old = _sides(spark, d)
     return fuzzy.report(fuzzy.match(new, old), new, old)
 
 
-@query("""WITH m AS (SELECT lang, original_text, min_by(translated_text, tl_id) AS translation FROM tl_entries WHERE translated_text IS NOT NULL AND original_text IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2)
-SELECT e.tl_id, m.translation FROM tl_entries e LEFT JOIN m USING (lang, original_text)""")
+@query("""SELECT match_id, row_number() OVER (ORDER BY CASE WHEN similarity > 1 THEN similarity / 100 ELSE similarity END DESC, match_id) AS place FROM fuzzy_matches WHERE similarity IS NOT NULL""")
+def match_order(spark, d):
+    """Matches by similarity, the most similar first, with their place in that order."""
+    m = t(spark, d, "fuzzy_matches").where("similarity is not null").select("match_id", F.when(F.col("similarity") > 1, F.col("similarity") / 100).otherwise(F.col("similarity")).alias("s"))
+    return relational.numbered(m.withColumn("_d", -F.col("s")), [], ["_d", "match_id"], "place").select("match_id", F.col("place") + 1).toDF("match_id", "place")
+
+
+@query()
 def tm_lookup(spark, d):
-    """J08, exact stage, and E15."""
+    """Equal texts, else the most similar at 0.8 or more; difflib's ratio has no SQL."""
     e = t(spark, d, "tl_entries").select("tl_id", "lang", F.col("original_text").alias("original"))
     memory = t(spark, d, "tl_entries").select("lang", F.col("tl_id").alias("entry_id"), F.col("original_text").alias("original"), F.col("translated_text").alias("translation"))
-    return fuzzy.memory_lookup(e, memory.where("original is not null and lang is not null")).select("tl_id", "translation")
+    return fuzzy.memory_lookup(e, memory.where("original is not null and lang is not null")).select("tl_id", "translation", F.round("confidence", 6).alias("confidence"), "source")
+
+
+@query("""WITH m AS (SELECT lang, original_text, min_by(translated_text, tl_id) AS translation FROM tl_entries WHERE translated_text IS NOT NULL AND original_text IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2)
+SELECT e.tl_id, m.translation FROM tl_entries e LEFT JOIN m USING (lang, original_text)""")
+def tm_exact(spark, d):
+    """J08, the exact stage alone."""
+    e = t(spark, d, "tl_entries")
+    known = e.where("translated_text is not null and original_text is not null and lang is not null").groupBy("lang", "original_text").agg(F.min_by("translated_text", "tl_id").alias("translation"))
+    return e.select("tl_id", "lang", "original_text").join(known, ["lang", "original_text"], "left").select("tl_id", "translation")
 
 
 @query("""WITH u AS (SELECT original_text, target_lang, min_by(translated_text, result_id) AS tr FROM results WHERE success AND original_text IS NOT NULL AND translated_text IS NOT NULL GROUP BY 1, 2)
@@ -274,7 +289,7 @@ def severity_counts(spark, d):
 
 @query("SELECT lower(text_type) AS text_type, count(*) AS n, count(DISTINCT text) AS texts FROM entries GROUP BY 1")
 def context_summary(spark, d):
-    """A04, A16, A18."""
+    """A04, A16."""
     return t(spark, d, "entries").groupBy(F.lower("text_type").alias("text_type")).agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
 
 
@@ -366,10 +381,13 @@ def longest_first(spark, d):
     return g.select("lang", F.array_join(relational.longest_first(F.col("s")), "|").alias("terms"))
 
 
-@query("SELECT target_lang, engine, req_idx, count(*) AS sent, arg_max(result_id, finished_at) IS NOT NULL AS ok FROM results GROUP BY 1, 2, 3")
+@query("""WITH l AS (SELECT req_idx, arg_max(result_id, (finished_at, result_id)) AS result_id, count(*) AS sent FROM results WHERE finished_at IS NOT NULL GROUP BY 1)
+SELECT req_idx, result_id, sent, row_number() OVER (ORDER BY req_idx NULLS FIRST) - 1 AS place FROM l""")
 def request_order(spark, d):
-    """O04 and answers sent again."""
-    return t(spark, d, "results").groupBy("target_lang", "engine", "req_idx").agg(F.count("*").alias("sent"), F.max_by("result_id", "finished_at").isNotNull().alias("ok"))
+    """The last answer of each request, in the order of the requests."""
+    r = t(spark, d, "results").where("finished_at is not null")
+    last = r.groupBy("req_idx").agg(F.max_by("result_id", F.struct("finished_at", "result_id")).alias("result_id"), F.count("*").alias("sent"))
+    return relational.numbered(last, [], ["req_idx"], "place")
 
 
 # --- extraction and output ---------------------------------------------------------------------------------------------
@@ -451,9 +469,8 @@ def strings_template(spark, d):
 
 @query()
 def template_files(spark, d):
-    """Whole templates, one per source file and group of entries of bounded size."""
-    e = t(spark, d, "entries").withColumn("part", F.floor(F.col("entry_id") / 10_000))
-    return sinks.strings_template(e, "turkish", ["file_path", "part"], ["line_number", "entry_id"])
+    """Whole templates, one per source file."""
+    return sinks.strings_template(t(spark, d, "entries"), "turkish", ["file_path"], ["line_number", "entry_id"])
 
 
 @query()

@@ -300,17 +300,8 @@ def unescape_literals(spark, d):
     return t(spark, d, "tokens").select("token_id", X.unescape_literal(F.col("raw_text")).alias("text"))
 
 
-@query(r"""WITH a AS (SELECT tl_id, file_path, line_number, context_path, original_text AS x FROM tl_entries WHERE NOT regexp_matches(original_text, '[^\x00-\x7F]|\\')),
- b AS (SELECT *, CASE WHEN regexp_matches(x, '(?s)\A".*"\z') OR regexp_matches(x, '(?s)\A''.*''\z') THEN substr(x, 2, length(x) - 2) ELSE x END AS y FROM a)
-SELECT tl_id, 'id_' || substr(sha1(concat_ws('|', replace(file_path, '\', '/'), line_number::VARCHAR, coalesce(array_to_string(context_path, '|'), ''), replace(replace(y, chr(13) || chr(10), chr(10)), chr(13), chr(10)))), 1, 16) AS id FROM b""")
-def translation_id(spark, d):
-    """T14 for texts without escapes."""
-    e = t(spark, d, "tl_entries").where(~F.col("original_text").rlike(r"[^\x00-\x7F]|\\"))
-    return e.select("tl_id", X.translation_id(F.col("file_path"), F.col("line_number"), F.col("context_path"), F.col("original_text")).alias("id"))
-
-
 @query()
-def translation_id_all(spark, d):
+def translation_id(spark, d):
     """T14 over all rows, with characters beyond ASCII and escapes resolved; unicode escapes have no SQL."""
     e = t(spark, d, "tl_entries")
     return e.select("tl_id", X.translation_id_of_literal(F.col("file_path"), F.col("line_number"), F.col("context_path"), F.col("original_text")).alias("id"))
@@ -380,17 +371,9 @@ def placeholder_diff(spark, d):
     return e.select("tl_id", F.array_join(X.lost(o, x, X.VARIABLE), ", ").alias("lost_variables"), F.array_join(X.lost(o, x, X.TAG), ", ").alias("lost_tags"))
 
 
-@query(r"""SELECT doc_id, array_to_string([ v::INT for v in regexp_extract_all(substr(text, 1, 200), '\d{1,6}') ], '.') AS version FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\A# ')""")
+@query(r"""SELECT doc_id, array_to_string([ regexp_replace(v, '\A0+([0-9])', '\1') for v in regexp_extract_all(text, '[0-9]+') ], '.') AS version FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\A# ')""")
 def version_numbers(spark, d):
-    """T30 on the first 200 characters, where notes name their version."""
-    e = t(spark, d, "documents").where(F.col("text").rlike(r"\A# "))
-    parts = F.transform(F.regexp_extract_all(F.substr("text", F.lit(1), F.lit(200)), F.lit(r"\d{1,6}"), F.lit(0)), lambda v: v.cast("int").cast("string"))
-    return e.select("doc_id", F.array_join(parts, ".").alias("version"))
-
-
-@query()
-def version_numbers_all(spark, d):
-    """T30 on whole texts, with whole numbers of any length."""
+    """T30, the parts: whole texts, whole numbers of any length."""
     e = t(spark, d, "documents").where(F.col("text").rlike(r"\A# "))
-    parts = F.transform(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)), lambda v: F.regexp_replace(v, r"\A0+(?=\d)", ""))
+    parts = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9]+"), F.lit(0)), lambda v: F.regexp_replace(v, r"\A0+(?=[0-9])", ""))
     return e.select("doc_id", F.array_join(parts, ".").alias("version"))

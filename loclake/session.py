@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -18,3 +20,20 @@ def session(app: str = "loclake", **extra: str) -> SparkSession:
     for k, v in {**DEFAULTS, **extra}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Rows cut from their lineage through the cluster's shared folder, so a lost executor costs no recomputation.
+
+    The folder is ``spark.checkpoint.dir`` of the session; only a local session without one (tests) gets a temporary one.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder")
+            folder = tempfile.mkdtemp(prefix="loclake-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

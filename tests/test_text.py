@@ -75,9 +75,9 @@ def test_ids_and_versions_of_all_rows(spark, tmp_path):
     texts = {"plain": "plain", "é": "Ã©", 'say \\"hi\\"\\n': 'say "hi"\n', "'\\u00e9\\x41'": "éA", "ends é\\": "ends é\\", "\\ud800x": "x", '"': "", None: ""}
     rows = [(i, "a\\b.rpy", 3, ["x"], k) for i, k in enumerate(texts)]
     spark.createDataFrame(rows, "tl_id long, file_path string, line_number int, context_path array<string>, original_text string").write.parquet(str(tmp_path / "tl_entries.parquet"))
-    got = {r["tl_id"]: r["id"] for r in text_queries.QUERIES["translation_id_all"](spark, str(tmp_path)).collect()}
+    got = {r["tl_id"]: r["id"] for r in text_queries.QUERIES["translation_id"](spark, str(tmp_path)).collect()}
     assert got == {i: "id_" + hashlib.sha1(f"a/b.rpy|3|x|{v}".encode()).hexdigest()[:16] for i, v in enumerate(texts.values())}
     docs = [(1, "# v1.02 " + "x" * 300 + " 7 and 12345678901"), (2, "# none"), (3, "no title 5"), (4, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["version"] for r in text_queries.QUERIES["version_numbers_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["version"] for r in text_queries.QUERIES["version_numbers"](spark, str(tmp_path)).collect()}
     assert got == {1: "1.2.7.12345678901", 2: ""}
