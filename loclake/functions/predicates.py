@@ -205,3 +205,25 @@ def engine_file(path: Column) -> Column:
 
 def in_language_folder(path: Column, lang: str) -> Column:
     return F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike(rf"(\A|/)tl/{lang.lower()}/")
+
+
+def deep_scan_candidate(x: Column, in_python: Column, line: Column) -> Column:
+    """Whether a literal outside the statement passes may be text: long notifications always, else by form and line."""
+    s, low, where = strip(F.coalesce(x, F.lit(""))), F.lower(strip(F.coalesce(x, F.lit("")))), F.lower(F.coalesce(line, F.lit("")))
+    notify = strip(F.coalesce(line, F.lit(""))).startswith("renpy.notify")
+    technical = (
+        low.rlike(r"\.(png|jpg|mp3|ogg|ttf|otf|rpy)") | s.rlike(r"\A[a-z_][a-z0-9_]*\z") | s.rlike(r"\A[a-z]+[A-Z][a-zA-Z0-9]*\z") | s.rlike(HEX) | where.rlike("transform|style|image |audio |register_")
+        | s.rlike(r"\A(\[[^\]]+\]|\{[^}]+\})+\z") | ~s.rlike(r"\p{L}") | (F.length(x) > 300) & notify & ~x.rlike(r"[{\[]")
+    )
+    return F.when((F.length(x) > 300) & in_python & notify, True).when(F.length(s) < 3, False).otherwise(F.coalesce(is_meaningful(x) & ~technical, F.lit(False)))
+
+
+def usable(working: Column, success_rate: Column) -> Column:
+    """Endpoints that may be used while any of them is: working and right more often than not."""
+    return working & (success_rate > 0.5)
+
+
+def first_match(x: Column, rules: list[tuple[str, str]]) -> Column:
+    """The type of the first of an ordered table of patterns that a line matches, else null; off where no rule is given."""
+    found = [F.when(x.rlike(p), t) for p, t in rules]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")

@@ -190,6 +190,41 @@ def unescape_literal(x: Column) -> Column:
     return replace_all(x, ("\\r\\n", "\n"), ("\\r", "\n"), ("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\'", "'"), ("\\\\", "\\"))
 
 
+def unquote(x: Column) -> Column:
+    """A literal as written without prefix and quotes, with quotes and line ends unescaped; backslashes stay doubled."""
+    bare = F.regexp_replace(x, r"(?s)\A[rRuUbBfF]{0,2}(\"\"\"|'''|\"|')(.*)\1\z", "$2")
+    return replace_all(bare, ('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\t", "\t"))
+
+
+def raw_and_text(x: Column) -> Column:
+    """struct(raw_text, text) of a literal as written."""
+    return F.struct(x.alias("raw_text"), unquote(x).alias("text"))
+
+
+def escape_kept(x: Column) -> Column:
+    """Escapes for output that leave variables, tags and notes as they are; doubled brackets become escaped ones."""
+    kept = r"\{#[^}]+\}|\[[^\[\]]+\]|\{[^{}]*\}"
+    plain = lambda g: replace_all(g, ("[[", "\\[\\["), ("{{", "\\{\\{"), ("\\", "\\\\"), ('"', '\\"'), ("\r", ""), ("\n", "\\n"), ("\t", "\\t"))
+    return F.when(x.isNotNull(), _weave(F.transform(F.split(x, kept, -1), plain), F.regexp_extract_all(x, F.lit(kept), F.lit(0))))
+
+
+def canonical(x: Column) -> Column:
+    """The form in which texts are compared between extraction passes: escapes resolved, line feeds, null as empty."""
+    return resolved_udf(x)
+
+
+def version_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the numbers of two versions; missing parts count as 0."""
+    parts = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"[0-9]+"), F.lit(0)), lambda v: v.cast("decimal(38,0)"))
+    pairs = F.zip_with(parts(a), parts(b), lambda x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))
+    return F.coalesce(F.get(F.filter(F.transform(pairs, lambda d: F.signum(d).cast("int")), lambda d: d != 0), F.lit(0)), F.lit(0))
+
+
+def subset(a: Column, b: Column) -> Column:
+    """Whether every element of the first list occurs in the second."""
+    return F.size(F.array_except(a, b)) == 0
+
+
 def paragraph(x: Column) -> Column:
     """Paragraph markup: trimmed lines indented by four blanks within _p("\"\" … "\"\")."""
     body = F.array_join(F.transform(F.split(x, "\n", -1), lambda s: F.concat(F.lit("    "), strip(s))), "\n")

@@ -1,5 +1,6 @@
-"""Glossary: hits, protection before and application after translation. The glossary's size is checked: its terms
-become literals of the plan up to ``LIMIT`` terms a language, beyond that it isn't one and an error says so."""
+"""Glossary: hits, protection before and application after translation. Hits are a join and take a glossary of any
+size. Replacement needs all terms at once: they become literals of the plan up to ``LIMIT`` terms a language, and an
+error says so beyond."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loclake.functions.text import keep_case, strip
+from loclake.operators.relational import small
 
 LIMIT = 5_000
 
@@ -21,17 +23,20 @@ def terms(glossary: DataFrame, lang: str | None = None) -> list[tuple[str, str]]
     return sorted(((r["src"], r["dst"]) for r in rows), key=lambda t: (-len(t[0]), t[0]))
 
 
-def word(term: str) -> str:
-    """The term as a whole word, in any case."""
-    quoted = "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in term)
-    return rf"(?i)(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])"
-
-
-def hits(texts: DataFrame, column: str, glossary: list[tuple[str, str]], keep: tuple[str, ...]) -> DataFrame:
-    """One row per text and term that it holds. One scan with a narrow explode, no join of every text with every term:
-    a text is only tested against the terms of which it holds a word."""
-    found = F.array_compact(F.array(*[F.when(F.col(column).rlike(word(s)), F.struct(F.lit(s).alias("term"), F.lit(d).alias("target"))) for s, d in glossary]))
-    return texts.select(*keep, F.explode(found).alias("h")).select(*keep, "h.term", "h.target")
+def hits(texts: DataFrame, column: str, glossary: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """One row per text and term of ``glossary`` (src, dst) that it holds as a whole word, in any case.
+
+    Texts meet terms by the term's first run of letters and digits: a text is only tested against terms of which it
+    holds that word. ``keep`` must name a row; terms without a letter or digit are no words and have no hit.
+    """
+    run = r"[\p{L}\p{N}_]+"
+    g = glossary.where("src is not null and dst is not null").groupBy(F.col("src").alias("term")).agg(F.min("dst").alias("target"))
+    g = g.withColumn("_w", F.lower(F.regexp_extract("term", run, 0))).where("_w <> ''")
+    quoted = F.regexp_replace("term", r"([^\p{L}\p{N}\s])", r"\\$1")
+    g = g.withColumn("_p", F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])")))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(run), F.lit(0)))).alias("_w")
+    met = texts.select(*keep, F.col(column).alias("_x"), words).join(small(g), "_w")
+    return met.where(F.regexp_like("_x", F.col("_p"))).select(*keep, "term", "target").distinct()
 
 
 def any_term(glossary: list[tuple[str, str]]) -> str:

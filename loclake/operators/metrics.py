@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loclake.operators.relational import numbered
+
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.when(whole > 0, F.round(100.0 * part / whole, digits)).otherwise(F.lit(0.0))
@@ -43,10 +45,17 @@ def duplicates(df: DataFrame, key: str, order: str, examples: int = 5) -> DataFr
     return both.select(key, "n", F.slice("ids", 1, examples).alias("ids"))
 
 
-def rolling(df: DataFrame, key: str, order: str, duration: str, ok: Column, rows: int = 500) -> DataFrame:
+def rolling(df: DataFrame, key: str, order: str, duration: str, ok: Column, rows: int = 500, block: int = 20_000) -> DataFrame:
     """Mean duration and share of failures over the last ``rows`` events of a key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(rows - 1), 0)
-    return df.withColumns({"mean_duration": F.avg(duration).over(w), "failure_rate": F.avg(F.when(ok, 0.0).otherwise(1.0)).over(w), "n_events": F.count("*").over(w)})
+    # blocks of a key in order, each with the rows before it that its frames reach into: no task holds a whole key
+    n = numbered(df.withColumn("_ok", ok), [key], [order], "_rn")
+    no = F.floor(F.col("_rn") / block).cast("long")
+    ahead = F.floor((F.col("_rn") + rows - 1) / block).cast("long")
+    n = n.withColumn("_own", no).withColumn("_block", F.explode(F.sequence(no, ahead)))
+    ok = F.col("_ok")
+    w = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(-(rows - 1), 0)
+    out = n.withColumns({"mean_duration": F.avg(duration).over(w), "failure_rate": F.avg(F.when(ok, 0.0).otherwise(1.0)).over(w), "n_events": F.count("*").over(w)})
+    return out.where("_block = _own").drop("_ok", "_rn", "_own", "_block")
 
 
 def adaptive_signal(mean: Column, failures: Column, n: Column, least: int = 20) -> Column:
@@ -80,3 +89,26 @@ def file_types(entries: DataFrame) -> DataFrame:
 
 def cache_stats(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), percent(F.count_if(hit), F.count("*")).alias("hit_rate"))
+
+
+def samples(df: DataFrame, by: list[str], kinds: dict[str, tuple[Column, int]], order: str) -> DataFrame:
+    """Per group and kind the number of rows and the first ids, as many as the kind says."""
+    kind = F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(n).alias("most"))) for k, (c, n) in kinds.items()]))).alias("_k")
+    rows = df.select(*by, order, kind).select(*by, order, "_k.*")
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(32)))
+    w = Window.partitionBy(*by, "kind", "_part").orderBy(order)
+    few = part.withColumn("_n", F.row_number().over(w)).groupBy(*by, "kind", "most", "_part").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("_n") <= F.col("most"), F.col(order))).alias("ids"))
+    return few.groupBy(*by, "kind", "most").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids")).select(*by, "kind", "n", F.slice("ids", F.lit(1), F.col("most")).alias("ids"))
+
+
+def endpoint_stats(endpoints: DataFrame) -> DataFrame:
+    """One row: endpoints (is_working, response_time, success_rate) in all, working ones, and means; 0 without any."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return endpoints.agg(F.count("*").alias("total"), F.count_if("is_working").alias("working"), mean("response_time").alias("mean_response"), mean("success_rate").alias("mean_success"))
+
+
+def endpoints(results: DataFrame, keys: list[str], ok: Column, duration: Column, most_failures: int = 10) -> DataFrame:
+    """Endpoints with their rates; one that failed more than ``most_failures`` times at a rate below 0.3 is off."""
+    e = results.groupBy(*keys).agg(F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"), F.avg(duration).alias("response_time"))
+    e = e.withColumn("success_rate", F.col("successes") / (F.col("successes") + F.col("failures")))
+    return e.withColumn("is_working", ~((F.col("failures") > most_failures) & (F.col("success_rate") < 0.3)))

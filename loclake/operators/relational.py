@@ -58,24 +58,31 @@ def fan_out(requests: DataFrame, translated: DataFrame, key: str = "text") -> Da
     return requests.join(translated, key, "left")
 
 
-def prefer(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
+def prefer(df: DataFrame, key: str, order: str = "seq", block: int = 10_000) -> DataFrame:
     """One row per text, replayed in order: a later row wins if it is engine-common and the kept one isn't, or else
-    if it is deep-scan and the kept one isn't. The winner depends on the order, so the rule is folded over the
-    ordered flags; a state has four values at most, so runs of equal flags are collapsed and a hot text with millions
-    of rows folds over few."""
+    if it is deep-scan and the kept one isn't. The winner depends on the order, so the rule is folded over the ordered
+    flags, block by block: a block is reduced to what it makes of each of the four kinds of a kept row, and the blocks of
+    a text are chained."""
     flags = df.select(key, order, F.coalesce("is_engine_common", F.lit(False)).alias("c"), F.coalesce("is_deep_scan", F.lit(False)).alias("d"))
-    # only the first row of each kind can ever win after the first row itself and the changes between kinds
-    w = Window.partitionBy(key).orderBy(order)
-    kind = F.struct("c", "d")
-    change = flags.withColumn("_p", F.lag(kind).over(w)).where(F.col("_p").isNull() | (F.col("_p") != kind))
-    rows = change.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "c", "d"))).alias("rows"))
+    n = numbered(flags, [key], [order], "_rn").withColumn("_block", F.floor(F.col("_rn") / block).cast("long"))
+    rows = n.groupBy(key, "_block").agg(F.array_sort(F.collect_list(F.struct(order, "c", "d"))).alias("rows"))
+    none = F.lit(None).cast(dict(flags.dtypes)[order])
 
     def step(kept: Column, x: Column) -> Column:
         wins = ~kept["c"] & x["c"] | ~kept["d"] & x["d"]
         return F.when(wins, x).otherwise(kept)
 
-    kept = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.get("rows", F.lit(0)), step)
-    return rows.select(key, kept[order].alias(order)).join(df, [key, order])
+    from_kind = [F.aggregate("rows", F.struct(none.alias(order), F.lit(c).alias("c"), F.lit(d).alias("d")), step) for c in (False, True) for d in (False, True)]
+    first = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.get("rows", F.lit(0)), step)
+    made = rows.select(key, F.struct("_block", first.alias("first"), F.array(*from_kind).alias("then")).alias("b"))
+    chain = made.groupBy(key).agg(F.array_sort(F.collect_list("b"), lambda x, y: (x["_block"] - y["_block"]).cast("int")).alias("bs"))
+
+    def link(kept: Column, b: Column) -> Column:
+        now = F.get(b["then"], kept["c"].cast("int") * 2 + kept["d"].cast("int"))
+        return F.when(now[order].isNull(), kept).otherwise(now)
+
+    kept = F.aggregate(F.slice("bs", F.lit(2), F.size("bs")), F.get("bs", F.lit(0))["first"], link)
+    return chain.select(key, kept[order].alias(order)).join(df, [key, order])
 
 
 @F.pandas_udf(T.StructType([T.StructField("exits", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]))

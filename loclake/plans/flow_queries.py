@@ -133,7 +133,7 @@ def dedup_fanout(spark, d):
 SELECT entry_id, g.src AS term, g.dst AS target FROM entries, g WHERE regexp_matches(entries.text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(g.src) || '($|[^\p{L}\p{N}_])')""")
 def glossary_hits(spark, d):
     """J12 and O01."""
-    g = glossary.terms(t(spark, d, "glossary"), "tr")
+    g = t(spark, d, "glossary").where("lang = 'tr'")
     return glossary.hits(t(spark, d, "entries").where("text is not null"), "text", g, ("entry_id",))
 
 

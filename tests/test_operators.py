@@ -133,7 +133,7 @@ def test_glossary(spark):
     got = x.select(glossary.apply(F.col("x"), F.col("o"), g), glossary.protect(F.col("x"), g)["text"], glossary.protect(F.col("x"), g)["targets"]).collect()
     assert got[0][0] == "The Silberschlüssel and a SCHLÜSSEL, monkey." and got[1][0] == "Schlüssel" and got[2][0] is None
     assert got[0][1] == "The XRPYXGLO0XRPYX and a XRPYXGLO1XRPYX, monkey." and got[0][2] == ["Silberschlüssel", "Schlüssel"]
-    assert {r["term"] for r in glossary.hits(x.where("x is not null"), "x", g, ("x",)).collect()} == {"silver key", "key"}
+    assert {r["term"] for r in glossary.hits(x.where("x is not null"), "x", df(spark, g, "src string, dst string"), ("x",)).collect()} == {"silver key", "key"}
 
 
 def test_fuzzy_against_brute_force(spark):
