@@ -166,6 +166,14 @@ def _joined(node: ast.AST) -> str | None:
     if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
         a, b = _joined(node.left), _joined(node.right)
         return a + b if a is not None and b is not None else None
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Mod):
+        return _joined(node.left)
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and (base := _joined(node.func.value)) is not None:
+        if node.func.attr == "format":
+            return base
+        if node.func.attr == "join" and len(node.args) == 1 and isinstance(node.args[0], (ast.List, ast.Tuple)):
+            parts = [_joined(x) for x in node.args[0].elts]
+            return base.join(parts) if None not in parts else None
     return None
 
 
@@ -214,6 +222,86 @@ def deep_strings(df: DataFrame, key: str = "file_path", content: str = "text") -
     return found.where(ok).withColumn("context_path", path).withColumn("text_type", F.lit("python_string"))
 
 
+KEY_HERE = re.compile(r"(?:(\w+)\s*=\s*(?:\[\s*)?|(\w+)\.(?:append|extend|insert)\s*\([^\"']*|[\"'](\w+)[\"']\s*:\s*)$")
+KEY_ABOVE = re.compile(r"^\s*(?:(\w+)\s*=\s*[\[{(]|(\w+)\.(?:append|extend)\s*\()")
+
+
+def file_literals(content: str, above: int = 10) -> Iterator[tuple[str, int, str | None, bool]]:
+    """(text, line, key, within Python) of every literal of a file, statements or not.
+
+    The key is the name that the literal is given to on its line, in front of it, or else by a list or call that begins
+    on one of the ``above`` lines before it and isn't closed yet. Literals side by side are one text.
+    """
+    lines = content.splitlines()
+    text = "\n".join(lines)
+    starts = np.r_[0, np.cumsum([len(x) + 1 for x in lines])][: len(lines)].astype(int)
+    inside = np.zeros(len(lines) + 1, int)
+    for first, code in python_blocks(content):
+        inside[first - 1 : first - 1 + code.count("\n") + 1] = 1
+    found, at = literals(text), 0
+    while at < len(found):
+        m = found[at]
+        body, prefix = (m["long"] if m["triple"] else m["body"]), m["prefix"]
+        parts, end = [_resolve(body, prefix)], m.end()
+        while at + 1 < len(found) and not text[end : found[at + 1].start()].strip(" \t\\"):
+            at += 1
+            n = found[at]
+            parts.append(_resolve(n["long"] if n["triple"] else n["body"], n["prefix"]))
+            end = n.end()
+        at += 1
+        no = int(np.searchsorted(starts, m.start(), "right")) - 1
+        here = KEY_HERE.search(text[starts[no] : m.start()])
+        key = next((k for k in here.groups() if k), None) if here else None
+        for up in range(no - 1, max(-1, no - 1 - above), -1) if key is None else ():
+            if h := KEY_ABOVE.match(lines[up]):
+                between = "\n".join(lines[up:no])
+                if sum(map(between.count, "[({")) > sum(map(between.count, "])}")):
+                    key = h[1] or h[2]
+                break
+        yield "".join(parts), no + 1, key, bool(inside[no])
+
+
+def literal_strings(df: DataFrame, key: str = "file_path", content: str = "text") -> DataFrame:
+    """Texts in any literal of a file, filtered by key or content; their type says whether Python holds them."""
+    found = _table(df, key, content, file_literals, "text string, line_number int, key_name string, in_python boolean")
+    listed = F.lower("key_name").isin(*P.KEYS_IN, *P.KEYS_OUT)
+    ok = P.meaningful_value(F.col("text"), F.when(listed, F.col("key_name"))) & P.is_meaningful(F.col("text"))
+    path = F.when(F.col("key_name").isNotNull(), F.array(F.concat(F.lit("variable:"), F.col("key_name")))).otherwise(F.array().cast("array<string>"))
+    return found.where(ok).withColumn("context_path", path).withColumn("text_type", F.when(F.col("in_python"), "python_string").otherwise("deep_scan"))
+
+
+# --- where texts are used -------------------------------------------------------------------------------------------
+
+# Words in front of a literal that name no speaker.
+NO_SPEAKER = frozenset("if elif else while for return pass menu label screen define default image transform style".split())
+USE = re.compile(r"[ \t]*(?:(textbutton|text)\s+_?\s*\(?|(\w+)\s+)?([\"'])(.+?)\3")
+
+
+def usages(content: str) -> Iterator[tuple[str, int, str, str | None, str | None, str | None, list[str]]]:
+    """(text, line, use, character, label, screen, path) of the first literal of each line outside Python."""
+    lines = content.split("\n")
+    of, paths = block_paths(lines, np.zeros(len(lines), bool))
+    for i, line in enumerate(lines):
+        path = paths[of[i]] if of[i] >= 0 else ()
+        if line.lstrip().startswith("#") or "python" in path or BLOCK.match(line) or not (m := USE.match(line)):
+            continue
+        named = lambda kind: next((p.split(":", 1)[1] for p in reversed(path) if p.startswith(kind + ":")), None)
+        menu = "menu" in path
+        if m[1]:
+            use, who = m[1], None
+        elif m[2]:
+            if menu or m[2].lower() in NO_SPEAKER:
+                continue
+            use, who = "dialogue", m[2]
+        else:
+            use, who = ("menu" if menu else "narrator"), None
+        yield m[4], i + 1, use, who, named("label"), named("screen"), list(path)
+
+
+def usage_contexts(df: DataFrame, key: str = "file_path", content: str = "text") -> DataFrame:
+    return _table(df, key, content, usages, "text string, line_number int, use string, character string, label string, screen string, context_path array<string>")
+
+
 def character_names(df: DataFrame, content: str = "text") -> DataFrame:
     """Names given to characters: define e = Character("Eileen")."""
     pattern = r'define\s+\w+\s*=\s*Character\s*\(\s*(?:_\()?"([^"]+)"'

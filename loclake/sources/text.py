@@ -158,3 +158,32 @@ def data_entries(df: DataFrame, kind: str, key: str = "file_path", content: str
 
     out = df.select(key, content).mapInPandas(read, f"{key} {key_type}, context_line string, key_name string, text string")
     return out.where(P.meaningful_value(F.col("text"), F.col("key_name")) if keyed else P.two_letters(F.col("text")))
+
+
+# --- side tables and folders ------------------------------------------------------------------------------------------
+
+
+def side_table(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of a JSON object of texts (a glossary, rules); a list gives its items with null values; a missing or
+    broken file has no rows."""
+    schema = "key string, value string"
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except Exception:  # the file's absence is found when it is analysed
+        return spark.createDataFrame([], schema)
+    pairs = F.from_json("value", "map<string,string>")
+    items = F.transform(F.from_json("value", "array<string>"), lambda v: F.struct(v.alias("key"), F.lit(None).cast("string").alias("value")))
+    rows = F.when(F.ltrim("value").startswith("["), items).otherwise(F.transform(F.map_entries(pairs), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    return raw.select(F.inline(rows)).where("key is not null")
+
+
+def diagnostic_samples(spark: SparkSession, path: str, fields: str = "text string, translation_id string, file string") -> DataFrame:
+    """The samples of an earlier report, one row each."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.inline(F.from_json("value", f"samples array<struct<{fields.replace(' string', ':string')}>>")["samples"]))
+
+
+def translation_folder(spark: SparkSession, folder: str, lang: str) -> DataFrame:
+    """(file_path, content) of the scripts below tl/<lang>, whatever the case of the folder's name."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rpy").load(folder)
+    return raw.where(P.in_language_folder(F.col("path"), lang)).select(F.col("path").alias("file_path"), "content")

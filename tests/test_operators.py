@@ -207,3 +207,79 @@ def test_fuzzy_family_and_second_choice(spark, monkeypatch):
         monkeypatch.setattr(fuzzy, "FEW", few)
         got = {r["new_id"]: (r["old_id"], r["similarity"]) for r in fuzzy.match(*sides).collect()}
         assert got == want and len(got) == 8
+
+
+def test_numbers_of_a_hot_key(spark):
+    rows = [("hot", (i * 7919) % 5003) for i in range(5003)] + [(None, i) for i in range(3)] + [("a", 1)]
+    d = df(spark, rows, "k string, i long").repartition(7)
+    assert relational.in_ranges(d, ["k"], ["i"]).where("k = 'hot'").select("_part").distinct().count() > 1
+    got = relational.numbered(d, ["k"], ["i"], "n").collect()
+    assert len(got) == len(rows) and all(r["n"] == (r["i"] if r["k"] != "a" else 0) for r in got)
+
+
+def test_rolling_across_blocks(spark):
+    rng = random.Random(4)
+    rows = [("hot", i, float(rng.randrange(100)), rng.random() < 0.5) for i in range(300)]
+    got = {r["i"]: (r["mean_duration"], r["failure_rate"], r["n_events"]) for r in metrics.rolling(df(spark, rows, "k string, i long, ms double, ok boolean"), "k", "i", "ms", F.col("ok"), rows=20, block=32).collect()}
+    for i in range(300):
+        part = rows[max(0, i - 19) : i + 1]
+        assert got[i] == (sum(r[2] for r in part) / len(part), sum(not r[3] for r in part) / len(part), len(part))
+
+
+def test_prefer_across_blocks(spark):
+    rng = random.Random(8)
+    rows = [("t", i, rng.random() < 0.5, rng.random() < 0.5) for i in range(120)]
+    kept = rows[0]
+    for r in rows[1:]:
+        if (not kept[2] and r[2]) or (not kept[3] and r[3]):
+            kept = r
+    got = relational.prefer(df(spark, rows, "text string, seq long, is_engine_common boolean, is_deep_scan boolean"), "text", block=7).collect()
+    assert [r["seq"] for r in got] == [kept[1]]
+
+
+def test_glossary_of_any_size(spark):
+    g = spark.range(20_000).selectExpr("concat('term', id) AS src", "concat('t', id) AS dst")
+    x = df(spark, [(1, "A Term7 and term19999."), (2, "term"), (3, None)], "i int, x string")
+    assert {(r["i"], r["target"]) for r in glossary.hits(x, "x", g, ("i",)).collect()} == {(1, "t7"), (1, "t19999")}
+
+
+def test_memory_finds_similar_texts(spark):
+    memory = [("de", 1, "The old key is lost.", "Der alte Schlüssel ist weg."), ("de", 2, "The old key is lost.", "zweite"), ("de", 3, "Something else entirely", "anderes"), ("fr", 4, "The old key is lost!", "La clé")]
+    texts = [("de", "The old key is lost."), ("de", "The old keys are lost."), ("fr", "The old key is lost."), ("tr", "The old key is lost."), (None, "x"), ("de", None)]
+    got = fuzzy.memory_lookup(df(spark, texts, "lang string, original string"), df(spark, memory, "lang string, entry_id long, original string, translation string")).collect()
+    by = {(r["lang"], r["original"]): (r["translation"], r["source"]) for r in got}
+    assert by == {
+        ("de", "The old key is lost."): ("Der alte Schlüssel ist weg.", "exact"), ("de", "The old keys are lost."): ("Der alte Schlüssel ist weg.", "fuzzy"), ("fr", "The old key is lost."): ("La clé", "fuzzy"),
+        ("tr", "The old key is lost."): (None, None), (None, "x"): (None, None), ("de", None): (None, None),
+    }
+
+
+CODE = """label start:
+    e "Hello there"
+
+    "Narrated" # "not this"
+screen main(name):
+    textbutton _("Back") action Return()
+    text "Title"
+menu:
+    "Go on":
+        jump x
+python:
+    notes = [
+        "One two",
+        "Three " "four",
+    ]
+    desc = "Five six"
+    items.append("Seven eight")
+"""
+
+
+def test_literals_with_keys_and_usages(spark):
+    got = {(t, line): (key, inside) for t, line, key, inside in extract.file_literals(CODE)}
+    assert got[("One two", 13)] == ("notes", True) and got[("Three four", 14)] == ("notes", True) and got[("Five six", 16)] == ("desc", True) and got[("Seven eight", 17)] == ("items", True) and got[("Hello there", 2)] == (None, False)
+    use = [(t, n, u, who, label, screen) for t, n, u, who, label, screen, _ in extract.usages(CODE)]
+    assert use == [("Hello there", 2, "dialogue", "e", "start", None), ("Narrated", 4, "narrator", None, "start", None), ("Back", 6, "textbutton", None, None, "main"), ("Title", 7, "text", None, None, "main"), ("Go on", 9, "menu", None, None, None)]
+
+
+def test_blank_lines_end_no_block():
+    assert [p for *_, p, _, _ in extract.scan('label a:\n\n    "x"\n"y"')] == [["label:a"], []]

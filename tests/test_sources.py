@@ -88,6 +88,68 @@ def test_script_source(spark, tmp_path, monkeypatch):
     assert got == {("Hello there", 2, "dialogue", "e"), ("Go on", 3, "menu", None), ("Inside", 4, "dialogue", None)}
 
 
+def kinds(monkeypatch, *names):
+    module = types.ModuleType("renpy.ast")
+    for name in names:
+        setattr(module, name, type(name, (), {"__module__": "renpy.ast"}))
+    monkeypatch.setitem(sys.modules, "renpy", types.ModuleType("renpy"))
+    monkeypatch.setitem(sys.modules, "renpy.ast", module)
+
+    def node(kind, **attrs):
+        n = getattr(module, kind)()
+        n.__dict__.update(attrs)
+        return n
+
+    return node
+
+
+def test_texts_of_code_and_screens(monkeypatch):
+    node = kinds(monkeypatch, "Define", "Default", "Python", "RawBlock", "UserStatement", "Screen", "SLScreen", "SLIf", "SLFor", "SLBlock", "SLUse", "SLDisplayable", "SLPython", "SLDefault", "PyCode", "Init", "While", "Translate", "Say")
+    code = lambda s: node("PyCode", source=s)
+    element = lambda *v, **kw: node("SLDisplayable", positional=list(v), keyword=list(kw.items()), location=("a.rpy", 7), children=[])
+    tree = [
+        node("Init", block=[node("Define", code=code("title = 'The long way'"), linenumber=1), node("Default", code=code("x = {'name': 'Ann the cook'}"), linenumber=2)]),
+        node("Python", code=code("renpy.notify('Take ' + 'care')\nparts = ', '.join(['one more', 'two more'])"), linenumber=3),
+        node("RawBlock", code="show text 'Fading in'", linenumber=4), node("UserStatement", line='quest title "Find the key" id "quest_1"', linenumber=5), node("While", block=[node("Say", what="Again", who=None, linenumber=6)]),
+        node("Translate", language="tr", block=[node("Say", what="Yine", who="e", linenumber=8)]),
+        node("Screen", name="main", screen=node("SLScreen", children=[
+            node("SLIf", entries=[("True", node("SLBlock", children=[element('"Start"', tooltip="'Begin it'")])), (None, node("SLBlock", children=[element('_("Load")')]))]),
+            node("SLFor", children=[element("Plain label")]), node("SLUse", block=node("SLBlock", children=[element(code("_('Used here')"))])), node("SLPython", code=code("a = 'In a screen'")), node("SLDefault", expression=code("'By default'")),
+        ])),
+    ]
+    got = [(t, line, kind) for t, line, kind, *_ in binary.script_texts(compiled(tree))]
+    assert sorted(t for t, _, _ in got) == sorted(["The long way", "Ann the cook", "Take care", "one more, two more", "Fading in", "Find the key", "Again", "Yine", "Start", "Begin it", "Load", "Plain label", "Used here", "In a screen", "By default"])
+    assert ("Start", 7, "ui") in got and ("Again", 6, "dialogue") in got
+    contexts = {t: c for t, *_, c in binary.script_texts(compiled(tree))}
+    assert contexts["Start"] == "screen:main" and contexts["Yine"] == "translate:tr" and contexts["The long way"] == "rpyc_val:title"
+
+
+def test_packed_script_after_a_head_and_unreadable_files(spark, tmp_path, monkeypatch):
+    node = kinds(monkeypatch, "Say")
+    body = zlib.compress(pickle.dumps(([], [node("Say", what="Old form", who=None, linenumber=3)]), protocol=2))
+    for name, data in {"a.rpymc": b"HEAD\n" + body, "bad.rpyc": b"no script", "tl/x.rpyc": body, "renpy/y.rpyc": body, "renpy/common/z.rpyc": body}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    binary.register(spark)
+    read = lambda errors: {(r["file_path"].replace(f"{tmp_path}/", ""), r["text"], r["node_type"]) for r in spark.read.format("loclake_script").option("errors", errors).load(str(tmp_path)).collect()}
+    good = {("a.rpymc", "Old form", "Say"), ("renpy/common/z.rpyc", "Old form", "Say")}
+    assert read("false") == good and read("true") == good | {("bad.rpyc", None, "unreadable")}
+
+
+def test_side_tables_and_folders(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"key": "clé", "box": "boîte"}')
+    (tmp_path / "rules.json").write_text('["never", "ever"]')
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "r.json").write_text('{"total": 2, "samples": [{"text": "a", "translation_id": "i"}, {"text": "b"}]}')
+    pairs = lambda f: sorted(tuple(r) for r in text.side_table(spark, str(tmp_path / f)).collect())
+    assert pairs("g.json") == [("box", "boîte"), ("key", "clé")] and [k for k, _ in pairs("rules.json")] == ["ever", "never"] and pairs("broken.json") == [] and pairs("none.json") == []
+    assert [tuple(r) for r in text.diagnostic_samples(spark, str(tmp_path / "r.json")).collect()] == [("a", "i", None), ("b", None, None)]
+    for f in ("tl/Turkish/a.rpy", "tl/german/a.rpy", "tl/Turkish/a.txt"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    assert [r["file_path"].endswith("tl/Turkish/a.rpy") for r in text.translation_folder(spark, str(tmp_path), "turkish").collect()] == [True]
+
+
 class Evil:
     def __reduce__(self):
         return (eval, ("1/0",))
