@@ -6,8 +6,10 @@ hashed as the sum of its fields' hashes, so order and notation don't matter. Row
 row of their group are verified by a two-pointer comparison that skips on both sides; rows that fail it (a hash
 collision) are grouped exactly.
 
-Only hashes are shuffled for grouping, pre-aggregated per task; texts travel for rows in groups of two or more. A
-group with a third of all rows is one row in the aggregate and is split by AQE's skew join where rows meet it. Null
+Only hashes are shuffled for grouping, pre-aggregated per task. Rows in groups of two or more then fetch their texts:
+where they are few (counted) they are broadcast to the texts, else the texts are shuffled once; the first texts come
+from those rows themselves. A group with a third of all rows is one row in the aggregate, and its rows are spread by a
+salt where they meet their first. Null
 texts (and null ids or languages in ``tl_entries``) have no copies.
 """
 
@@ -24,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loclake.llm.common import checkpoint, table
+from loclake.llm.common import checkpoint, few, salted, table
 
 LEAST = 12  # letters and digits that a text of entries needs
+HOT, SALTS = 10_000, 32  # rows of a group beyond which they are spread, and over how many copies of the first row
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 NAME = r"[A-Za-z_]\w{0,30}"
 QUOTED = re.compile(rf'"({NAME})"\s*:\s*')
@@ -187,10 +190,17 @@ def grouped(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("k", layout_keys_udf("text")).where(f"src <> 'entries' or k.n >= {LEAST}")
     hashed = checkpoint(keyed.select("src", "id", F.xxhash64("src", "within", "k.k1").alias("k1"), F.xxhash64("within", "k.k2", "k.n").alias("k2")))
     first = hashed.groupBy("src", "k1", "k2").agg(F.min("id").alias("first_id"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = hashed.join(first, ["src", "k1", "k2"]).select("src", "id", "first_id")
-    text = rows.select("src", "id", "text", "within")
-    first_text = text.toDF("src", "first_id", "first_text", "first_within")
-    pairs = checkpoint(met.join(text, ["src", "id"]).join(first_text, ["src", "first_id"]).withColumn("same", (F.col("within") == F.col("first_within")) & copies_udf("text", "first_text")))
+    met = checkpoint(hashed.join(first, ["src", "k1", "k2"]).select("src", "id", "first_id"))
+    held = checkpoint(rows.select("src", "id", "text", "within").join(few(met), ["src", "id"]))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    big = met.groupBy("src", "first_id").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("src", "first_id", F.lit(True).alias("hot"))
+    # rows of hot groups meet one of several copies of their first row
+    firsts = held.where("id = first_id").select("src", "first_id", F.col("text").alias("first_text"), F.col("within").alias("first_within"))
+    firsts = firsts.join(big, ["src", "first_id"], "left").select("src", "first_id", "first_text", "first_within", "hot")
+    firsts = firsts.where("hot").select("*", salts).unionByName(firsts.where("hot is null").withColumn("salt", F.lit(0))).drop("hot")
+    spread_ = held.join(few(big), ["src", "first_id"], "left").withColumn("salt", F.when(F.col("hot"), salted("id", SALTS)).otherwise(0)).drop("hot")
+    same = (F.col("within") == F.col("first_within")) & copies_udf("text", "first_text")
+    pairs = checkpoint(spread_.join(firsts, ["src", "first_id", "salt"]).withColumn("same", same).select("src", "id", "first_id", "within", "text", "same"))
     kept = pairs.where("same").select("src", "id", "first_id")
     odd = pairs.where("not same")
     if odd.isEmpty():

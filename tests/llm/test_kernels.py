@@ -160,3 +160,11 @@ def test_encoding_round_trip():
         if "\ud800" not in t:
             inv = {i: b for b, i in bpe.ranks(PATH).items()}
             assert b"".join(inv[int(i)] for i in ids).decode() == t
+
+
+def test_hot_groups_of_copies_keep_every_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(p6, "HOT", 20)
+    texts = ["Nobody knows who painted the mirror." + "!" * (i % 7) for i in range(60)] + [f"Another text, number {i}." for i in range(40)] + ["ANOTHER TEXT number 3"]
+    rows = spark.createDataFrame([("entries", i, t, "") for i, t in enumerate(texts)], "src string, id long, text string, within string")
+    got = {(r["id"], r["first_id"]) for r in p6.grouped(rows).collect()}
+    assert got == {(i, 0) for i in range(60)} | {(63, 63), (100, 63)}
