@@ -166,7 +166,7 @@ def weigh(texts: DataFrame, column: str) -> Residue:
     """Document counts of the exemplars' tokens over all texts: at most one row per token reaches the driver."""
     known = sorted({t for e in exemplars() for t in e if t != "#" and not JAPANESE.match(t)})
     words = F.array_distinct(F.split(F.lower(column), r"[^\p{L}]+"))
-    hits = texts.where(F.col(column).isNotNull()).select(F.explode(F.array_intersect(words, F.array(*map(F.lit, known)))).alias("t"))
+    hits = texts.where(F.col(column).isNotNull()).select(F.explode(words).alias("t")).where(F.col("t").isin(known))
     df = {r["t"]: r["n"] for r in hits.groupBy("t").agg(F.count("*").alias("n")).collect()}
     return Residue(df, texts.where(F.col(column).isNotNull()).count())
 
