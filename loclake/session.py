@@ -22,12 +22,9 @@ def session(app: str = "loclake", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Rows cut from their lineage through the cluster's shared folder, so a lost executor costs no recomputation.
-
-    The folder is ``spark.checkpoint.dir`` of the session; only a local session without one (tests) gets a temporary one.
-    """
-    spark = df.sparkSession
+def use_shared_folder(spark: SparkSession) -> None:
+    """Checkpoints go to ``spark.checkpoint.dir`` of the session; only a local session without one (tests) gets a
+    temporary folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,4 +33,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="loclake-")
         sc.setCheckpointDir(folder)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Rows cut from their lineage through the cluster's shared folder, so a lost executor costs no recomputation."""
+    use_shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
