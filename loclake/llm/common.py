@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loclake.session import checkpoint, use_shared_folder  # noqa: F401
+
 #: Fixed: languages of the corpus (API codes) and their names in ``tl_entries.lang``.
 LANGS = ("en", "de", "fr", "es", "tr", "ru", "ja")
 NAME_TO_CODE = {
@@ -20,19 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder, so a lost executor costs no recomputation.
-
-    ``spark.checkpoint.dir`` of the session is used; only where it is unset (tests) a temporary one is made.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none (tests) a temporary one."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loclake-"))
+    """The folder that ``checkpoint`` writes to."""
+    use_shared_folder(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 

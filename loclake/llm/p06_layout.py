@@ -1,7 +1,7 @@
 """Problem 6: duplicates hidden by formatting differences.
 
 The characters of a whole Arrow batch stream through one skip-and-fold lookup table (0: skip, else the folded letter
-or digit) into two rolling polynomial hashes per row; canonical strings are never built. A list of named fields is
+or digit) into two rolling polynomial hashes per row; neither canonical strings nor arrays of them are built. A list of named fields is
 hashed as the sum of its fields' hashes, so order and notation don't matter. Rows whose hashes collide with the first
 row of their group are verified by a two-pointer comparison that skips on both sides; rows that fail it (a hash
 collision) are grouped exactly.
@@ -73,18 +73,22 @@ def rolling_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         return z, z, np.empty(0, np.int64)
     texts = [ud.normalize("NFC", t) if MARKS.search(t) else t for t in texts]
     cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) for t in texts])
-    folded = fold_table()[cps]
-    kept = np.r_[0, np.cumsum(folded > 0)]
-    stop, start = kept[ends], kept[np.r_[0, ends[:-1]]]
-    n, codes = stop - start, folded[folded > 0].astype(np.uint64)
-    from_end = np.repeat(stop, n) - 1 - np.arange(len(codes))
+    lengths = np.array([len(t) for t in texts])
+    ends = np.cumsum(lengths)
+    codes = fold_table()[cps]
+    keeps = codes > 0
+    kept = np.r_[0, np.cumsum(keeps)]
+    stop, start = kept[ends], kept[ends - lengths]
+    n = stop - start
+    # a character's power is the number of kept ones after it in its text; skipped characters add nothing
+    after = np.repeat(stop, lengths) - kept[1:]
     out = []
     with np.errstate(over="ignore"):
-        codes = (codes + np.uint64(7)) * np.uint64(0xFF51AFD7ED558CCD)
+        codes = (codes.astype(np.uint64) + np.uint64(7)) * np.uint64(0xFF51AFD7ED558CCD)
         for w in (0, 1):
-            total = np.r_[np.uint64(0), np.cumsum((codes ^ (codes >> np.uint64(31 + w))) * _power(w, int(n.max()) + 1)[from_end], dtype=np.uint64)]
-            out.append(total[stop] - total[start])
+            terms = (codes ^ (codes >> np.uint64(31 + w))) * _power(w, int(n.max()) + 1)[after] * keeps
+            total = np.r_[np.uint64(0), np.cumsum(terms, dtype=np.uint64)]
+            out.append(total[ends] - total[ends - lengths])
     return out[0], out[1], n
 
 
