@@ -180,7 +180,8 @@ def diagnostics_report(spark, d):
     return sinks.report_json("game", "turkish", metrics.diagnostics(t(spark, d, "entries").select("file_path", F.expr(_STATUS).alias("status"))))
 
 
-@query()
+@query("""WITH f AS (SELECT *, CASE WHEN similarity > 1 THEN similarity / 100 ELSE similarity END AS s FROM fuzzy_matches WHERE old_id IS NOT NULL AND similarity IS NOT NULL)
+SELECT match_id, '{"new_id":' || to_json(new_id) || ',"new_original":' || to_json(new_original) || CASE WHEN old_translation IS NULL THEN '' ELSE ',"suggested":' || to_json(old_translation) END || ',"similarity":' || floor(s * 100)::INT || ',"auto_applied":' || (s >= 0.9) || '}' AS suggestion FROM f""")
 def suggestions_json(spark, d):
     """Matches as JSON with all five fields; the numbers come from the table."""
     f = t(spark, d, "fuzzy_matches").where("old_id is not null and similarity is not null")
