@@ -174,7 +174,9 @@ class Forms:
         return form if form == text or self.skeleton(form) == shape else text
 
 
-#: The letters above alone, where no public table can be read.
+#: ICU's class that has the public table.
+CHECKER = "com.ibm.icu.text.SpoofChecker$Builder"
+#: The letters above alone, for the functions below where they are called without a table.
 FIXED = Forms(CYRILLIC | GREEK)
 canonical, skeleton = FIXED.canonical, FIXED.skeleton
 
@@ -182,16 +184,18 @@ canonical, skeleton = FIXED.canonical, FIXED.skeleton
 def public_table(spark: SparkSession) -> dict[str, str]:
     """Prototypes of letters and digits beyond ASCII by ICU's table, a few thousand; ideographs and syllables have none.
 
-    Empty where the library is missing.
+    Without the library there is no table, and a run that would find fewer letters ends instead.
     """
     chars = [chr(i) for i in range(0x80, 0x20000) if not (0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xE000) and ud.category(chr(i))[0] in "LN"]
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     try:
-        of = jvm.java.lang.Class.forName("com.ibm.icu.text.SpoofChecker$Builder")
+        of = jvm.java.lang.Class.forName(CHECKER)
         builder = of.getDeclaredConstructor(gateway.new_array(jvm.java.lang.Class, 0)).newInstance(gateway.new_array(jvm.java.lang.Object, 0))
         got = builder.build().getSkeleton("\n".join(chars)).split("\n")
-    except Exception:
-        return {}
+    except Exception as e:
+        raise RuntimeError(f"the look-alike table can't be read from ICU ({CHECKER})") from e
+    if len(got) != len(chars):
+        raise RuntimeError(f"the look-alike table has {len(got)} prototypes of {len(chars)} characters")
     # Latin letters and decomposable ones keep their own shape: accents aren't look-alikes of plain letters
     return {c: p for c, p in zip(chars, got) if p not in ("", c) and ud.normalize("NFD", c) != p and not LATIN.match(c)}
 

@@ -1,5 +1,7 @@
 """Consistent forms come from skeletons and the look-alike table."""
 
+import pytest
+
 from loclake.llm import p01_confusables as p1
 
 MIXED = ["pаst", "tхe", "Оne", "Ѕee"]
@@ -26,3 +28,12 @@ def test_groups_of_spellings(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/entries.parquet")
     spark.createDataFrame([(1, '"past"')], "token_id long, raw_text string").write.parquet(f"{tmp_path}/tokens.parquet")
     assert [tuple(r) for r in p1.p1_groups(spark, str(tmp_path)).collect()] == [("past", 2, 3, "past")]
+
+
+def test_without_icu_the_run_ends(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "the pаst")], "entry_id long, text string").write.parquet(f"{tmp_path}/entries.parquet")
+    spark.createDataFrame([(1, "past")], "token_id long, raw_text string").write.parquet(f"{tmp_path}/tokens.parquet")
+    monkeypatch.setattr(p1, "CHECKER", "com.ibm.icu.text.NoSuchChecker$Builder")
+    for query in (p1.p1_found, p1.p1_canonical, p1.p1_groups):
+        with pytest.raises(RuntimeError, match="look-alike table"):
+            query(spark, str(tmp_path))
