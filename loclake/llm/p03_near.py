@@ -12,7 +12,9 @@ common k-mers only, in which such texts are as good as equal.
 A sketch that many texts hold is cut into blocks of ``BLOCK`` texts; pairs of blocks are compared in tasks of their
 own, so no task has the pairs of a whole hot group and none is left out.
 
-Candidates are verified by banded alignment, whose matches bound the number of shared k-mers from below; where that
+Candidates meet as numbers with bitmaps of their k-mers first, which bound the shared k-mers from above and leave little
+but the cases; k-mers are only fetched for what is left, so no candidate that fails carries them through an exchange.
+The rest is verified by banded alignment, whose matches bound the number of shared k-mers from below; where that
 bound doesn't decide (moved sentences) the k-mer sets are intersected.
 
 Records with the same words form a class of which one record stands for all while candidates are sought; classes are
@@ -37,6 +39,8 @@ from loclake.llm.common import checkpoint, spread, table
 
 #: A k-mer that more than ``COMMON`` of the texts hold weighs less the more of them do.
 SKETCHES, SHARED, KEEP, THRESHOLD, BAND, COMMON, TEMPLATE, BLOCK = 90, 20, 2, 0.5, 12, 0.001, 0.6, 128
+#: Words of 64 bits of a text's bitmap.
+WORDS = 3
 
 _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, SKETCHES + SHARED, dtype=np.uint64) | np.uint64(1)
 
@@ -277,14 +281,31 @@ def candidates(reps: DataFrame) -> DataFrame:
     across = blocks.join(other, "sketch").where("block < block_b").select(F.explode("members").alias("x"), "others").select("x", F.explode("others").alias("y"))
     across = across.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     within = met.where("a is not null").select(F.inline(F.arrays_zip("a", "b")))
-    return within.unionByName(across).distinct()
+    # by one end, where the bitmaps join
+    return within.unionByName(across).repartition("a").distinct()
+
+
+def bitmaps(reps: DataFrame) -> DataFrame:
+    """no, n (distinct k-mers), more (k-mers beyond the bits they set) and the bits as numbers m0, m1, ..."""
+    each = [F.expr(f"aggregate(ks, 0L, (s, k) -> s | if(pmod(k div 64, {WORDS}) = {w}, shiftleft(1L, cast(pmod(k, 64) as int)), 0L))").alias(f"m{w}") for w in range(WORDS)]
+    held = reps.select("no", F.array_distinct("kmers").alias("ks")).select("no", F.size("ks").alias("n"), *each)
+    return held.select("no", "n", (F.col("n") - sum(F.bit_count(f"m{w}") for w in range(WORDS))).alias("more"), *[f"m{w}" for w in range(WORDS)])
+
+
+def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may reach the threshold: a text has at most as many k-mers in the other as bits in common,
+    and those of its k-mers that share a bit."""
+    marks = bitmaps(reps)
+    left, right = marks.toDF("a", *[f"{c}_a" for c in marks.columns[1:]]), marks.toDF("b", *[f"{c}_b" for c in marks.columns[1:]])
+    both = sum(F.bit_count(F.col(f"m{w}_a").bitwiseAND(F.col(f"m{w}_b"))) for w in range(WORDS)) + F.least("more_a", "more_b")
+    return pairs.join(left, "a").join(right, "b").where(both >= THRESHOLD * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def similar_classes(members: DataFrame) -> DataFrame:
     """Verified pairs of classes, by their ids."""
     reps = members.where("kmers is not null").select("no", "class_id", "kmers")
     left, right = reps.toDF("a", "class_a", "ka"), reps.toDF("b", "class_b", "kb")
-    met = candidates(reps).join(left, "a").join(right, "b").where(similar_udf("ka", "kb"))
+    met = possible(candidates(reps), reps).join(left, "a").join(right, "b").where(similar_udf("ka", "kb"))
     return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
 
 

@@ -50,3 +50,17 @@ def test_template_in_a_third_of_all_texts(spark, tmp_path):
     members = spark.createDataFrame([(f"r{i:04d}", t) for i, t in enumerate(texts)], "id string, text string")
     pairs = p3.similar_classes(p3.checkpoint(p3.classes(members))).collect()
     assert {(r["a"], r["b"]) for r in pairs} == {(f"r{i:04d}", f"r{j:04d}") for j in range(400) for i in range(j)}
+
+
+def test_bitmaps_lose_no_pair_and_drop_most(spark):
+    """Failing candidates must not carry k-mers: what the bitmaps leave holds all similar pairs and few others."""
+    rng = random.Random(11)
+    base = [[rng.randrange(-(2**63), 2**63) for _ in range(rng.choice([1, 2, 12, 40, 80, 900]))] for _ in range(60)]
+    texts = base + [[k for k in t if rng.random() < rng.choice([0.5, 0.6, 0.8, 1])] + t[:2] for t in base] + [t + [rng.randrange(2**60) for _ in t] for t in base]
+    reps = spark.createDataFrame(list(enumerate(texts)), "no long, kmers array<long>")
+    pairs = spark.createDataFrame([(i, j) for j in range(len(texts)) for i in range(j)], "a long, b long")
+    got = {(r["a"], r["b"]) for r in p3.possible(pairs, reps).collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if p3.similar(texts[i], texts[j])}
+    assert len(want) > 60 and got >= want
+    short = {(i, j) for i, j in got if max(len(texts[i]), len(texts[j])) < 100}
+    assert len(short - want) < 0.02 * pairs.count()
