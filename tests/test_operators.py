@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loclake.operators import extract, fuzzy, glossary, health, metrics, relational, tl, translate
@@ -283,3 +284,27 @@ def test_literals_with_keys_and_usages(spark):
 
 def test_blank_lines_end_no_block():
     assert [p for *_, p, _, _ in extract.scan('label a:\n\n    "x"\n"y"')] == [["label:a"], []]
+
+
+def test_best_pairs_and_lengths_within_the_band(monkeypatch):
+    """Aligned texts leave early and few pairs are scored, but no pair at the need and no best one is lost."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh ijkl") for _ in range(rng.choice([30, 100, 150, 190]))) for _ in range(30)]
+
+    def edit(x):
+        return "".join(rng.choice(["", "x", "ab"]) if rng.random() < 0.1 else c for c in x)
+
+    old, new = sorted({*base, *(edit(x) for x in base * 3), "🙂" * 40, "\ud800" + "y" * 60}), sorted({edit(x) for x in base} | {"🙂" * 39, "q" * 150})
+    aligner, which = fuzzy._Aligner(old), np.arange(len(old))
+    for a in new:
+        exact = np.array([fuzzy.common_subsequence(a, b) for b in old])
+        for share in (0.7, 0.85):
+            need = share * (len(a) + aligner.sizes) / 2
+            got = aligner.lengths(a, which, need)
+            assert (got <= exact).all() and (got == exact)[exact >= need].all()
+    every = fuzzy.similar_pairs(new, old, 0.7)
+    top = {a: max(r for x, _, r in every if x == a) for a, _, _ in every}
+    calls, ratio = [], fuzzy.ratio
+    monkeypatch.setattr(fuzzy, "ratio", lambda a, b: calls.append(a) or ratio(a, b))
+    assert sorted(fuzzy.similar_pairs(new, old, 0.7, best=True)) == sorted(p for p in every if p[2] == top[p[0]])
+    assert len(every) > 60 and len(calls) < 0.8 * len(every)
