@@ -18,13 +18,13 @@ ALPHA = 0.5
 class WordModel:
     """Log probabilities of words under each language; unknown words are judged by script and by their last letters.
 
-    Trained on (language, text) pairs of a bounded sample; counts of a language are scaled to the same total, so that
-    a language that is rare in the sample isn't rare in the model.
+    Trained on (language, text) pairs or on ``counts`` of words by language; counts of a language are scaled to the same
+    total, so that a language that is rare in the texts isn't rare in the model.
     """
 
-    def __init__(self, rows: list[tuple[str, str]], langs: tuple[str, ...] = LANGS):
+    def __init__(self, rows: list[tuple[str, str]], langs: tuple[str, ...] = LANGS, counts: dict[str, Counter] | None = None):
         self.langs = langs
-        words = {lg: Counter() for lg in langs}
+        words = {lg: Counter((counts or {}).get(lg, {})) for lg in langs}
         for lang, text in rows:
             if lang in words:
                 words[lang].update(w for w in WORD.findall(text.lower()))
