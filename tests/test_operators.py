@@ -308,3 +308,28 @@ def test_best_pairs_and_lengths_within_the_band(monkeypatch):
     monkeypatch.setattr(fuzzy, "ratio", lambda a, b: calls.append(a) or ratio(a, b))
     assert sorted(fuzzy.similar_pairs(new, old, 0.7, best=True)) == sorted(p for p in every if p[2] == top[p[0]])
     assert len(every) > 60 and len(calls) < 0.8 * len(every)
+
+
+def test_unlike_sentences_are_not_aligned(monkeypatch):
+    """Bounds leave hardly a pair of unlike sentences to be aligned, below and above difflib's junk length, and lose none."""
+    rng = random.Random(21)
+    word = [["".join(rng.choice("aeiou") if i % 2 else rng.choice("bcdfghklmnprstvw") for i in range(rng.randrange(4, 9))) for _ in range(150)] for _ in range(4)]
+
+    def text(n):
+        return ". ".join(f"{rng.choice(word[0])} {rng.choice(word[1])}ed the {rng.choice(word[2])} {rng.choice(word[3])}" for _ in range(n))
+
+    def edit(x):
+        return "".join(rng.choice(["", "x", "ab"]) if rng.random() < 0.06 else c for c in x)
+
+    old = sorted({text(n) for n in (3, 4, 5, 6, 8) for _ in range(12)})
+    odd = ["a" * 190, "ab" * 95, "", "q", "a" * 130 + "b" * 60]
+    new = sorted({edit(x) for x in old[::2]} | {text(n) for n in (3, 5, 8) for _ in range(6)} | {"a" * 300, "ba" * 90, "b" * 200, ""})
+    assert min(map(len, old)) < 150 and max(map(len, old)) > 250
+    aligned, lengths = [], fuzzy._Aligner.lengths
+    monkeypatch.setattr(fuzzy._Aligner, "lengths", lambda self, a, which, need: aligned.extend(which) or lengths(self, a, which, need))
+    want = {(a, b): r for a in new for b in [*old, *odd] if (r := fuzzy.ratio(a, b)) >= 0.7}
+    assert {(a, b): r for a, b, r in fuzzy.similar_pairs(new, [*old, *odd], 0.7)} == want and len(want) >= 20
+    assert len(aligned) < len(want) + 0.02 * len(new) * len(old)
+    monkeypatch.setattr(fuzzy, "AT_ONCE", 50)
+    monkeypatch.setattr(fuzzy, "LANES", 7)
+    assert {(a, b): r for a, b, r in fuzzy.similar_pairs(new, [*old, *odd], 0.7)} == want
