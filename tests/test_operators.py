@@ -1,6 +1,7 @@
 """Operators on small tables: ties, nulls, hot keys, empty tables; brute force where there is no SQL."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -333,3 +334,20 @@ def test_unlike_sentences_are_not_aligned(monkeypatch):
     monkeypatch.setattr(fuzzy, "AT_ONCE", 50)
     monkeypatch.setattr(fuzzy, "LANES", 7)
     assert {(a, b): r for a, b, r in fuzzy.similar_pairs(new, [*old, *odd], 0.7)} == want
+
+
+def test_report_computes_matches_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    look = F.udf(lambda x: seen.add(1) or x, "string")
+    m = df(spark, [("n1", "o1", True), ("n2", "o2", False), ("n3", "o3", False)], "new_id string, old_id string, auto_apply boolean").where(look("new_id") != "")
+    new, old = df(spark, [(f"n{i}",) for i in range(6)], "new_id string"), df(spark, [(f"o{i}",) for i in range(8)], "old_id string")
+    assert fuzzy.report(m, new, old).first().asDict() == {"auto": 1, "review": 2, "unmatched_new": 3, "unmatched_old": 5}
+    assert seen.value == 3
+
+
+def test_unpopular_characters(monkeypatch):
+    texts = ["", "a" * 99 + "b", "aab" + "c" * 250, "🙂🙂\ud800x" * 60 + "yz", "", "é"]
+    want = [sum(c for c in Counter(x).values() if c <= len(x) // 100 + 1) for x in texts]
+    assert fuzzy._unpopular(texts).tolist() == want
+    monkeypatch.setattr(fuzzy, "AT_ONCE", 5)
+    assert fuzzy._unpopular(texts).tolist() == want
